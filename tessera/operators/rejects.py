@@ -46,7 +46,7 @@ def first_reason(broken: DataFrame, key: str) -> DataFrame:
 
 
 def _cell(name: str):
-    return F.try_element_at("cells", F.array_position("header", name).cast("int"))
+    return F.get("cells", (F.array_position("header", name) - 1).cast("int"))
 
 
 def index_cells(rows: DataFrame, key: str = "line_id") -> DataFrame:

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import rejects, snapshots
+from . import sqltext as Q
+from .functions import records as R
+from .functions import text as T
+from .functions import urls as U
+from .operators import catalog, quality, rejects, resolve, snapshots
+from .plans import search as S
+from .session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +22,9 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# ---- rows that fail to parse, changes between snapshots --------------------------------------
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.index_rejects(read(spark, sf, "readme_lines"))
 
@@ -37,5 +46,291 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("feed").alias("feed_id"), F.col("no").alias("snapshot_no"), "id", "change")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p6_found)}
-ORACLE: dict[str, str] = {}
+P6_SQL = """WITH cur AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, snapshot_no, id ORDER BY delivered_at DESC) AS rn FROM catalog_snapshots WHERE id IS NOT NULL) WHERE rn = 1),
+c AS (SELECT feed_id, snapshot_no, id, struct_pack(a := name, b := description, c := provider, d := docs_url, e := auth_type, f := https, g := cors, h := status, i := list_sort(tags)) AS content FROM cur),
+nos AS (SELECT feed_id, snapshot_no, lag(snapshot_no) OVER w AS prev FROM (SELECT DISTINCT feed_id, snapshot_no FROM catalog_snapshots) WINDOW w AS (PARTITION BY feed_id ORDER BY snapshot_no)),
+n AS (SELECT feed_id, snapshot_no, count(*) AS n FROM cur GROUP BY ALL)
+SELECT coalesce(b.feed_id, a.feed_id) AS feed_id, coalesce(b.no, a.no) AS snapshot_no, coalesce(b.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT c.feed_id, c.snapshot_no AS no, id, content FROM c JOIN nos USING (feed_id, snapshot_no) WHERE prev IS NOT NULL) b
+FULL JOIN (SELECT c.feed_id, nos.snapshot_no AS no, id, content FROM c JOIN nos ON c.feed_id = nos.feed_id AND c.snapshot_no = nos.prev) a ON a.feed_id = b.feed_id AND a.no = b.no AND a.id = b.id
+WHERE a.id IS NULL OR b.id IS NULL OR a.content IS DISTINCT FROM b.content
+UNION ALL
+SELECT DISTINCT r.feed_id, r.snapshot_no, '' AS id, 'miscounted' AS change FROM update_reports r JOIN nos USING (feed_id, snapshot_no) LEFT JOIN n x ON x.feed_id = r.feed_id AND x.snapshot_no = r.snapshot_no LEFT JOIN n y ON y.feed_id = r.feed_id AND y.snapshot_no = nos.prev
+WHERE r.counts.after IS DISTINCT FROM coalesce(x.n, 0) OR r.counts.before IS DISTINCT FROM coalesce(y.n, 0)"""
+
+
+# ---- text and index ----------------------------------------------------------------------------
+
+
+def token_stats(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    words = docs.select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
+    per = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return per.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("df"))
+
+
+TOKEN_SQL = f"""SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS df FROM (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({Q.terms(Q.words("text"))}) AS term FROM documents) GROUP BY ALL) GROUP BY term"""
+
+
+def field_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    index = S.build_index(read(spark, sf, "catalog_records"))
+    stats = S.statistics(index, [])
+    return stats.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.round(f"avg_{f}", 6).alias("avg_len")) for f in S.WEIGHTS])))
+
+
+_SRC = {"name": "name", "aliasesTags": f"{Q.joined('aliases')} || chr(10) || {Q.joined('tags')}", "categories": Q.joined("categories"), "description": "description"}
+LENGTH_SQL = " UNION ALL ".join(f"SELECT '{f}' AS field, round(greatest(1.0::DOUBLE, avg(len({Q.terms(Q.words(x))}))), 6) AS avg_len FROM catalog_records" for f, x in _SRC.items())
+
+
+def name_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    r = read(spark, sf, "catalog_records")
+    return r.select("row_id", T.normalize_text(F.col("name")).alias("normalized"), T.canonical_phrase(F.col("name")).alias("canonical"))
+
+
+PHRASE_SQL = f"SELECT row_id, array_to_string({Q.words('name')}, ' ') AS normalized, {Q.phrase('name')} AS canonical FROM catalog_records"
+
+#: Concepts used by the search queries, in order.
+ALIASES = [
+    ("weather", ["meteorology", "climate", "天气", "气象"]), ("forecast", ["weather forecast", "天气预报", "预报"]), ("stocks", ["stock", "equities", "stock market", "股票", "股价"]),
+    ("historical data", ["history", "historical", "time series", "历史", "历史数据"]), ("market data", ["market quotes", "行情", "市场行情"]), ("geolocation", ["location", "geocoding", "地理位置"]),
+]
+SEARCHES = {
+    "search_english": {"query": "weather forecast data", "limit": 20},
+    "search_concepts": {"query": "historical stock data API", "limit": 20},
+    "search_chinese": {"query": "我想找天气预报 API", "limit": 20},
+    "search_filtered": {"query": "music lyric feed", "source_tier": "apilayer", "https": "yes", "cors": "yes", "status": "active", "auth": "none", "limit": 20},
+    "search_category": {"query": "", "categories": ["天气", "Open Data"], "cors": "unknown", "limit": 20},
+    "search_name": {"query": "Weather by Momamorusa", "limit": 20},
+    "search_gated": {"query": "pdf url archive", "limit": 20},
+}
+
+
+def _search(arguments: dict) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        index = cut(S.build_index(read(spark, sf, "catalog_records")))  # read twice: statistics, scores
+        found = S.search(index, ALIASES, **arguments)
+        return found.select("rank", "doc", "id", "name", "score", F.array_join("reasons", "; ").alias("reasons"), "source_tier", "freshness", "docs_url")
+
+    return run
+
+
+def search_totals(spark: SparkSession, sf: str) -> DataFrame:
+    index = cut(S.build_index(read(spark, sf, "catalog_records")))
+    out = None
+    for a in SEARCHES.values():
+        one = S.search_summary(index, ALIASES, **a)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def render_results(spark: SparkSession, sf: str) -> DataFrame:
+    index = cut(S.build_index(read(spark, sf, "catalog_records")))
+    return S.render_rows(S.search(index, ALIASES, query="weather", limit=20))
+
+
+def query_terms(spark: SparkSession, sf: str) -> DataFrame:
+    aliases = S.load_aliases(read(spark, sf, "query_aliases"))
+    rows = [(a, k, t, float(e.weights[t])) for a in ("weather forecast", "行情 archive", "我想找天气预报 API", "ledger API") for e in [S.expand_query(a, aliases)] for k, t in enumerate(e.terms)]
+    return spark.createDataFrame(rows, "query string, pos int, term string, weight double")
+
+
+def freshness(spark: SparkSession, sf: str) -> DataFrame:
+    index = S.build_index(read(spark, sf, "catalog_records"))
+    ref = F.broadcast(index.agg(F.max("latest.at").alias("ref")))  # one row
+    age = F.greatest(F.lit(0), F.floor((F.col("ref") - F.col("latest.at")) / S.DAY))
+    state = F.when(F.col("marked_stale"), "stale").when(F.col("age_days").isNull(), "unknown").when(F.col("age_days") <= 365, "fresh").otherwise("stale")
+    return index.crossJoin(ref).select(F.col("doc").alias("row_id"), age.alias("age_days"), "marked_stale").select("row_id", "age_days", state.alias("state"))
+
+
+FRESH_SQL = f"WITH {Q.FRESH} SELECT doc AS row_id, age AS age_days, freshness AS state FROM fresh"
+
+
+# ---- values of records -----------------------------------------------------------------------------
+
+
+def record_values(spark: SparkSession, sf: str) -> DataFrame:
+    r = read(spark, sf, "catalog_records")
+    tiers = R.source_tiers(F.col("source_tier"), F.col("provenance"))
+    return r.select("row_id", F.array_join(F.array_sort(R.auth_types(F.col("auth"))), ",").alias("auth_types"), F.array_join(tiers, ",").alias("tiers"), F.when(F.size(tiers) == 1, F.get(tiers, F.lit(0))).otherwise("merged").alias("shown_tier"), R.one_of(F.col("https"), R.TRI_STATES).alias("https"), R.one_of(F.col("cors"), R.TRI_STATES).alias("cors"), R.one_of(F.col("status"), R.STATUSES).alias("status"))
+
+
+VALUE_SQL = f"""SELECT row_id, array_to_string(list_sort({Q.AUTH}), ',') AS auth_types, array_to_string({Q.tiers()}, ',') AS tiers, CASE WHEN len({Q.tiers()}) = 1 THEN {Q.tiers()}[1] ELSE 'merged' END AS shown_tier,
+{Q.tri("https")} AS https, {Q.tri("cors")} AS cors, {Q.STATUS} AS status FROM catalog_records"""
+
+
+def spelled_values(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each spelling of HTTPS, CORS and Auth cells of index tables means what."""
+    from .operators import markdown
+
+    rows = markdown.index_rows(read(spark, sf, "readme_lines"))
+    cell = lambda n: F.trim(F.get("cells", (F.array_position("header", n) - 1).cast("int")))
+    each = F.array(*[F.struct(F.lit(n).alias("column"), cell(n).alias("raw")) for n in ("auth", "https", "cors")])
+    v = rows.select(F.inline(each)).where(F.col("raw").isNotNull())
+    meant = F.when(F.col("column") == "auth", R.auth_type(F.col("raw"))).otherwise(R.tri_state(F.replace(F.col("raw"), F.lit("`"), F.lit(""))))
+    return v.groupBy("column", "raw", meant.alias("meant")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def slug_ids(spark: SparkSession, sf: str) -> DataFrame:
+    p = read(spark, sf, "part")
+    return p.select("p_partkey", R.slugify(F.col("p_name")).alias("slug"), R.identity_label(F.concat_ws(" ", "p_name", F.lit("API"))).alias("label"), R.stable_record_id(F.col("p_brand"), F.col("p_name")).alias("record_id"))
+
+
+def _slug(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+SLUG_SQL = f"SELECT p_partkey, {_slug('p_name')} AS slug, {_slug('p_name')} AS label, {_slug('p_brand')} || ':' || {_slug('p_name')} AS record_id FROM part"
+
+
+def url_forms(spark: SparkSession, sf: str) -> DataFrame:
+    r = read(spark, sf, "catalog_records")
+    u = F.col("docs_url")
+    return r.select("row_id", U.safe_public_url(u).alias("safe"), U.canonical_url(u).alias("canonical"), U.url_identity(u).alias("same"), U.provider_from_url(u, F.col("provider")).alias("provider_host"), U.url_problem(u).alias("problem"))
+
+
+def _canon() -> str:
+    u = "regexp_replace(docs_url, '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN {Q.part(u, 'scheme')} IN ('http', 'https') AND {Q.host(u)} <> '' AND NOT contains({Q.part(u, 'authority')}, '@') AND NOT ({Q.sensitive(u)}) THEN {Q.part(u, 'scheme')} || '://' || {Q.host(u)} || {Q.part(u, 'path')} || CASE WHEN {Q.part(u, 'query')} <> '' THEN '?' || {Q.part(u, 'query')} ELSE '' END END"
+
+
+URL_SQL = f"""SELECT row_id, {Q.safe_url("docs_url")} AS safe, canonical, lower({Q.part("canonical", "scheme")} || '://' || {Q.part("canonical", "authority")} || CASE WHEN {Q.part("canonical", "path")} = '' THEN '/' ELSE {Q.part("canonical", "path")} END || CASE WHEN {Q.part("canonical", "query")} <> '' THEN '?' || {Q.part("canonical", "query")} ELSE '' END) || CASE WHEN canonical IS NULL THEN NULL ELSE '' END AS same,
+CASE WHEN {Q.host("docs_url")} <> '' THEN regexp_replace({Q.host("docs_url")}, '^(?:www\\d*|api)\\.', '') ELSE provider END AS provider_host,
+CASE WHEN docs_url IS NULL OR docs_url = '' OR regexp_matches(docs_url, '\\s') THEN 'must be a non-empty absolute URL without whitespace' WHEN {Q.part("docs_url", "scheme")} NOT IN ('http', 'https') OR {Q.host("docs_url")} = '' THEN 'must be an absolute HTTP(S) URL' WHEN contains({Q.part("docs_url", "authority")}, '@') THEN 'must not contain URL userinfo or credentials' END AS problem
+FROM (SELECT *, {_canon()} AS canonical FROM catalog_records)"""
+
+
+# ---- quality, identity, snapshots -------------------------------------------------------------------
+
+
+def validation_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.record_errors(read(spark, sf, "catalog_records"))
+
+
+def _checks() -> str:
+    out = []
+
+    def rule(path: str, bad: str, message: str) -> None:
+        out.append(f"SELECT row_id, '{path}' AS path, {Q.q(message)} AS message FROM catalog_records WHERE {bad}")
+
+    for n, most, blank in (("id", 512, True), ("name", 512, True), ("description", 8192, False), ("provider", 512, True)):
+        rule(n, f"{n} IS NULL", "must be a string")
+        if blank:
+            rule(n, f"trim({n}) = ''", "must not be blank")
+        rule(n, f"length({n}) > {most}", f"must have at most {most} characters")
+    for n, allowed in (("source_tier", R.TIERS), ("https", R.TRI_STATES), ("cors", R.TRI_STATES), ("status", R.STATUSES)):
+        rule(n, f"coalesce({n} NOT IN ({', '.join(map(Q.q, allowed))}), true)", f"must be one of {', '.join(allowed)}")
+    for n in ("docs_url", "homepage_url"):
+        rule(n, f"{n} IS NULL OR {n} = '' OR regexp_matches({n}, '\\s')", "must be a non-empty absolute URL without whitespace")
+        rule(n, f"NOT ({n} IS NULL OR {n} = '' OR regexp_matches({n}, '\\s')) AND ({Q.part(n, 'scheme')} NOT IN ('http', 'https') OR {Q.host(n)} = '')", "must be an absolute HTTP(S) URL")
+    for n in ("aliases", "categories", "tags", "quality_flags"):
+        low = f"list_transform({n}, lambda v: lower(coalesce(v, '')))"
+        rule(n, f"{n} IS NULL", "must be a list")
+        rule(n, f"len(list_filter({n}, lambda v: v IS NULL OR trim(v) = '' OR trim(v) <> v)) > 0", "items must be non-empty trimmed strings")
+        rule(n, f"len(list_distinct({low})) < len({n})", "items must be unique")
+        rule(n, f"list_sort(list_transform({n}, lambda v: struct_pack(k := lower(coalesce(v, '')), v := coalesce(v, '')))) <> list_transform({n}, lambda v: struct_pack(k := lower(coalesce(v, '')), v := coalesce(v, '')))", "items must be in canonical order")
+        rule(n, f"len({n}) > 256", "must have at most 256 items")
+    rule("last_checked_at", f"last_checked_at IS NOT NULL AND NOT {Q.is_time('last_checked_at')}", "must be an RFC 3339 time or null")
+    rule("auth", "auth IS NULL OR len(auth) = 0", "must be a non-empty list")
+    rule("auth", f"len(list_filter(auth, lambda a: coalesce(a.type NOT IN ({', '.join(map(Q.q, R.AUTH_TYPES))}), true))) > 0", "type must be a known kind")
+    rule("auth", f"len(list_filter(auth, lambda a: coalesce(a.location NOT IN ({', '.join(map(Q.q, R.AUTH_LOCATIONS))}), true))) > 0", "location must be a known place")
+    rule("auth", "len(list_filter(auth, lambda a: coalesce(a.confidence < 0 OR a.confidence > 1, true))) > 0", "confidence must be from 0 to 1")
+    rule("auth", "len(auth) > 1 AND len(list_filter(auth, lambda a: a.type = 'none')) > 0", "none must stand alone")
+    rule("auth", "len(list_distinct(auth)) < len(auth)", "entries must be unique")
+    rule("provenance", "provenance IS NULL OR len(provenance) = 0", "must be a non-empty list")
+    rule("provenance", "len(list_filter(provenance, lambda p: trim(coalesce(p.source_id, '')) = '')) > 0", "source_id must not be blank")
+    rule("provenance", f"len(list_filter(provenance, lambda p: p.retrieved_at IS NOT NULL AND NOT {Q.is_time('p.retrieved_at')})) > 0", "retrieved_at must be an RFC 3339 time or null")
+    rule("provenance", "len(list_filter(provenance, lambda p: NOT coalesce(regexp_matches(p.content_hash, '^[0-9a-f]{64}$'), false))) > 0", "content_hash must be 64 hex digits")
+    rule("rights", "rights IS NULL", "must be a map")
+    rule("rights", f"len(list_filter(map_keys(rights), lambda k: k NOT IN ({', '.join(map(Q.q, quality.RIGHTS_KEYS))}))) > 0", "has an unknown key")
+    return " UNION ALL ".join(out)
+
+
+def repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    r = read(spark, sf, "catalog_records")
+    return quality.repeated_keys(r, F.lower("id"), "id", "must be unique")
+
+
+REPEATED_SQL = "SELECT row_id, 'id' AS path, 'must be unique' AS message FROM (SELECT row_id, row_number() OVER (PARTITION BY lower(id) ORDER BY row_id) AS k FROM catalog_records WHERE id IS NOT NULL) WHERE k > 1"
+
+
+def identity_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.identity_tokens(read(spark, sf, "catalog_records"))
+
+
+def entity_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.entity_groups(read(spark, sf, "catalog_records"))
+
+
+def merged_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = read(spark, sf, "catalog_records")
+    m = resolve.merge_groups(r, cut(resolve.entity_groups(r)))
+    return m.select("group", "id", "name", "provider", "source_tier", "description", "docs_url", "https", "cors", "status", "last_checked_at", "merged_rows", *[F.array_join(c, "|").alias(c) for c in ("aliases", "categories", "tags", "quality_flags")], F.to_json("auth").alias("auth"), F.size("provenance").alias("sources"))
+
+
+def part_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts linked by name or by brand and type, in groups."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("x"), F.concat_ws("\x1f", "p_brand", "p_name").alias("token"))
+    owner = p.groupBy("token").agg(F.min("x").alias("o"))
+    found = resolve.linked(p.join(owner, "token").select(F.col("x").alias("a"), F.col("o").alias("b")))
+    return found.select(F.col("vertex").alias("p_partkey"), F.col("group").alias("group_key"))
+
+
+def provider_tags(spark: SparkSession, sf: str) -> DataFrame:
+    r = read(spark, sf, "catalog_records").where(F.col("provider").isNotNull())
+    return catalog.canonical_sets(r.select("provider", F.explode("tags").alias("tag")), "provider", F.col("tag"), "tags")
+
+
+TAGS_SQL = """SELECT provider, string_agg(v, '|' ORDER BY k, v) AS tags FROM (
+  SELECT provider, lower(trim(t)) AS k, min(trim(t)) AS v FROM (SELECT provider, unnest(tags) AS t FROM catalog_records WHERE provider IS NOT NULL) WHERE trim(t) <> '' GROUP BY ALL) GROUP BY provider"""
+
+
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Between the first and the last snapshot of each feed."""
+    s = read(spark, sf, "catalog_snapshots")
+    ends = s.groupBy("feed_id").agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
+    v = ["name", "description", "provider", "docs_url", "auth_type", "https", "cors", "status"]
+    side = lambda c: s.join(ends, "feed_id").where(F.col("snapshot_no") == F.col(c)).groupBy("feed_id", "id").agg(F.max_by(F.struct(*v), "delivered_at").alias("r")).select("feed_id", "id", "r.*")
+    return catalog.snapshot_diff(side("lo"), side("hi"), ["feed_id", "id"], v)
+
+
+DIFF_SQL = """WITH e AS (SELECT feed_id, min(snapshot_no) AS lo, max(snapshot_no) AS hi FROM catalog_snapshots GROUP BY feed_id),
+r AS (SELECT feed_id, snapshot_no, id, arg_max(struct_pack(a := name, b := description, c := provider, d := docs_url, e := auth_type, f := https, g := cors, h := status), delivered_at) AS v FROM catalog_snapshots GROUP BY ALL),
+o AS (SELECT r.feed_id, id, v FROM r JOIN e ON r.feed_id = e.feed_id AND snapshot_no = lo), n AS (SELECT r.feed_id, id, v FROM r JOIN e ON r.feed_id = e.feed_id AND snapshot_no = hi)
+SELECT coalesce(o.feed_id, n.feed_id) AS feed_id, coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.feed_id = n.feed_id AND o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.v IS DISTINCT FROM n.v"""
+
+
+def row_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    n = read(spark, sf, "customer")
+    return n.select("c_custkey", catalog.row_hash(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).alias("content_hash"))
+
+
+HASH_SQL = "SELECT c_custkey, sha256(c_custkey || chr(31) || c_name || chr(31) || c_nationkey || chr(31) || c_mktsegment) AS content_hash FROM customer"
+
+
+def content_version(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.content_version(read(spark, sf, "catalog_records"), ["row_id", "id", "name", "description", "docs_url"])
+
+
+def index_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records made of the sound rows of index tables."""
+    entries = rejects.index_clean(read(spark, sf, "readme_lines"))
+    r = catalog.entries_to_records(entries, "index", "https://lists.example/index.md", "fixture-1", "2026-01-01T00:00:00Z", "a" * 64)
+    return r.select("row_id", "id", "name", "description", "provider", "docs_url", F.to_json("auth").alias("auth"), "https", "cors", "status")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, repeated_ids,
+        identity_tokens, entity_groups, merged_records, part_groups, provider_tags, snapshot_diff, row_hashes, content_version, index_records,
+    )
+} | {k: _search(a) for k, a in SEARCHES.items()}
+
+ORACLE: dict[str, str] = {
+    "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
+    "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
+    "part_groups": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS group_key FROM part",
+} | {k: Q.search(ALIASES, S.check_arguments(**a)) for k, a in SEARCHES.items()}
