@@ -71,11 +71,11 @@ def term_scores(records: DataFrame, row_id: str = "row_id", key: str = "id", of:
     stats = F.broadcast(collection(records, key, text))  # one row
     scored = tf.join(freq, "term", "left").crossJoin(stats)
     score = weight(F.col("tf"), F.coalesce("df", F.lit(0)), F.col("length"), F.col("n"), F.col("avg_len"))
-    return scored.select(F.col("row").alias(row_id), F.col("key").alias(key), "term", "tf", F.coalesce("df", F.lit(0)).alias("df"), F.round(score, 9).alias("score"))
+    return scored.select(F.col("row").alias(row_id), F.col("key").alias(key), "term", "tf", F.coalesce("df", F.lit(0)).alias("df"), score.alias("score"))
 
 
 def most_distinctive(records: DataFrame, of: DataFrame, row_id: str = "row_id", key: str = "id") -> DataFrame:
     """row_id, term: of the terms shared with at least one record of another key, the one with the highest score; ties go to the first term in order."""
     scores = term_scores(records, row_id, key, of)
     own = F.when(F.col(key).isNull(), 0).otherwise(1)
-    return scores.where(F.col("df") > own).groupBy(row_id).agg(F.min_by("term", F.struct(-F.col("score"), "term")).alias("term"))
+    return scores.where(F.col("df") > own).groupBy(row_id).agg(F.min_by("term", F.struct(-F.round("score", 9), "term")).alias("term"))
