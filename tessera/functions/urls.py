@@ -64,7 +64,8 @@ def safe_public_url(url: Column) -> Column:
 def url_problem(url: Column, https_only: bool = False) -> Column:
     """The first rule that an address breaks, as text; null for a sound one."""
     secret = F.array_sort(F.array_distinct(F.filter(F.transform(query_keys(url), query_key), is_sensitive)))
-    badport = part(url, "authority").rlike(r":[^\]]*$") & ~part(url, "authority").rlike(r":\d{0,5}$") | (F.coalesce(port(url), F.lit(0)) > 65535)
+    place = F.regexp_replace(part(url, "authority"), r"^.*@", "")
+    badport = place.rlike(r":[^\]]*$") & ~place.rlike(r":\d{0,5}$") | (F.coalesce(port(url), F.lit(0)) > 65535)
     checks = [
         (url.isNull() | (url == "") | url.rlike(r"\s"), F.lit("must be a non-empty absolute URL without whitespace")),
         (badport, F.lit("has an invalid host or port")),

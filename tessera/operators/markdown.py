@@ -8,6 +8,9 @@ summaries of the blocks before it.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,21 @@ def plain(cell: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(cell, r"[`*_]", "")))
 
 
+def plain_text(cell: Column) -> Column:
+    """Markdown as text: of images and links the words, no tags and marks, no escapes, entities as characters, single blanks; null stays null."""
+
+    @F.pandas_udf("string")
+    def entities(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    t = F.regexp_replace(cell, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>", " "), r"<[^<>]+>", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"`|\*\*|__", ""), r"\\([\\|_*`\[\]()<>#])", "$1")
+    coded = F.coalesce(t.rlike(r"&#?\w+;"), F.lit(False))  # only such texts leave the JVM
+    t = F.when(coded, entities(F.when(coded, t))).otherwise(t)
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
 def index_rows(lines: DataFrame, key: str = "line_id", file: str = "file_id", order: str = "line_no", text: str = "raw_line", block: int = BLOCK) -> DataFrame:
     """Rows of the index tables: key, file, order, text, header (names in lower case), cells.
 

@@ -87,9 +87,9 @@ def index_clean(lines: DataFrame, key: str = "line_id", **names) -> DataFrame:
     tick = lambda n: F.trim(F.replace(_cell(n), F.lit("`")))
     return sound.select(
         key,
-        F.regexp_extract(api, r"^\[(.*)\]\(", 1).alias("name"),
+        markdown.plain_text(F.regexp_extract(api, r"^\[(.*)\]\(", 1)).alias("name"),
         F.regexp_extract(api, r"\]\(\s*([^()\s]+)", 1).alias("url"),
-        _cell("description").alias("description"),
+        markdown.plain_text(_cell("description")).alias("description"),
         tick("auth").alias("auth"),
         F.lower(tick("https")).alias("https"),
         F.lower(tick("cors")).alias("cors"),

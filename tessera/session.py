@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -50,3 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialize df in the shared folder and forget how it was made."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in at least three partitions a core, for work that costs far more than moving the rows; a scan that has as many already is left alone."""
+    spark = df.sparkSession
+    want = 3 * spark.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= want else df.repartition(want, F.xxhash64(key))

@@ -30,10 +30,11 @@ def read_bytes(path: str, most: int = MAX_BYTES) -> bytes:
         fd = os.open(path, os.O_RDONLY | os.O_NONBLOCK)
     except OSError as e:
         raise CatalogError(f"file can't be opened ({e.strerror})") from None
+    info = os.fstat(fd)
+    if not stat.S_ISREG(info.st_mode):
+        os.close(fd)
+        raise CatalogError("not a regular file")
     with os.fdopen(fd, "rb") as f:
-        info = os.fstat(f.fileno())
-        if not stat.S_ISREG(info.st_mode):
-            raise CatalogError("not a regular file")
         if info.st_size > most:
             raise CatalogError("file is too large")
         data = f.read(most + 1)
