@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 # Letters that look like Latin ones, by alphabet; each is followed by its Latin look-alike.
 LOOKALIKES = {
-    "CYRILLIC": "аa вb еe ѕs іi јj кk оo рp сc тt уy хx һh ԁd ԛq ԝw ӏl ѵv ɡg ъb нh мm АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҺH ԌG ԚQ ԜW ҮY ѴV ӀI ЗZ",
+    "CYRILLIC": "аa вb еe ѕs іi јj кk оo рp сc тt уy хx һh ԁd ԛq ԝw ӏl ѵv АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҺH ԌG ԚQ ԜW ҮY ѴV ӀI",
     "GREEK": "αa βb γy εe ηn ιi κk νv οo ρp σo τt υu χx ωw ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ",
-    "ARMENIAN": "օo սu ցg հh ոn ռn զq աw ՕO ՍU ՏS ԼL յj",
+    "ARMENIAN": "օo սu ցg հh ոn ռn զq աw ՕO ՍU ԼL յj",
     "CHEROKEE": "ᎪA ᏴB ᏟC ᎠD ᎬE ᎻH ᏆI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ",
     "LATIN": "ɡg ɑa ıi",
 }
@@ -39,6 +39,7 @@ _TO_LATIN = {pair[0]: pair[1] for pairs in LOOKALIKES.values() for pair in pairs
 _FROM_LATIN: dict[str, dict[str, str]] = {a: {p[1]: p[0] for p in reversed(LOOKALIKES[a].split())} for a in ALPHABETS if a != "LATIN"}
 _ALWAYS = {p[0]: p[1] for p in LOOKALIKES["LATIN"].split() if p[0] != "ı"}
 _WORD = re.compile(r"[^\W\d_]+")
+_UNUSUAL = re.compile(r"[^\t\n\r -~]")
 
 
 def _folds(cp: int) -> bool:
@@ -50,8 +51,8 @@ def _folds(cp: int) -> bool:
 
 
 @functools.cache
-def _tables() -> tuple[re.Pattern, frozenset[str]]:
-    """The pattern of a segment that may be unstable, and the characters that may combine with one before them; made from Unicode's own data."""
+def _tables() -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that may be unstable, and those of them that may combine with one before them; made from Unicode's own data."""
     follows, alone = set(), set()
     for cp in range(0x80, 0x323B0):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or 0x3400 <= cp <= 0x9FFF and cp not in (0x3164,):
@@ -68,16 +69,31 @@ def _tables() -> tuple[re.Pattern, frozenset[str]]:
             alone.add(ch)
     follows |= {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
     alone |= set(INVISIBLE + SPACES + HYPHENS + JOINERS) | {chr(c) for c in range(0xFE00, 0xFE10)} | {chr(c) for c in (*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0))} | {chr(c) for c in range(0xE0000, 0xE01F0)}
-    cls = lambda s: "".join(map(re.escape, sorted(s)))
-    alone -= follows
-    # a segment: unstable characters, with the one character before those that may combine with it
-    return re.compile(f"(?:[{cls(alone)}]|[^{cls(follows | alone)}](?=[{cls(follows)}])|[{cls(follows)}])+"), frozenset(follows)
+    return frozenset(follows | alone), frozenset(follows)
+
+
+def _segments(text: str) -> Iterator[tuple[int, int]]:
+    """Where unstable characters stand, with the one character before those that may combine with it."""
+    unstable, follows = _tables()
+    start = end = -1
+    for m in _UNUSUAL.finditer(text):
+        i = m.start()
+        if text[i] not in unstable:
+            continue
+        if i != end:
+            if end >= 0:
+                yield start, end
+            start = i - (i > max(end, 0) and text[i] in follows)
+        end = i + 1
+    if end >= 0:
+        yield start, end
 
 
 def _cjk(ch: str) -> bool:
     return bool(ch) and ("⺀" <= ch <= "鿿" or "가" <= ch <= "힯" or "豈" <= ch <= "﫿" or "\U00020000" <= ch <= "\U000323af") and ch != "　"
 
 
+@functools.lru_cache(maxsize=65536)
 def _script(ch: str) -> str:
     try:
         return unicodedata.name(ch).split(" ", 1)[0]
@@ -91,7 +107,7 @@ def _joiner_needed(text: str, i: int) -> bool:
     if not before or not after:
         return False
     a, b = unicodedata.category(before), unicodedata.category(after)
-    emoji = a in ("So", "Sk") or before in "️⃣"
+    emoji = (a in ("So", "Sk") and not _folds(ord(before))) or before in "️⃣"
     if text[i] == "‍" and emoji and (b == "So" or after in "♀♂"):
         return True
     joining = ("ARABIC", "SYRIAC", "MONGOLIAN", "NKO", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "KHMER", "MYANMAR", "TIBETAN", "THAANA", "MANDAIC", "ADLAM")
@@ -139,8 +155,8 @@ def _one_alphabet(match: re.Match) -> str:
     used = {s for s in scripts if s in ALPHABETS}
     if len(used) < 2:
         return fixed
-    # the alphabet into which every letter of the others can be turned; the one with most letters first
-    for target in sorted(used, key=lambda a: (-scripts.count(a), ALPHABETS.index(a))):
+    # the alphabet into which every letter of the others can be turned
+    for target in sorted(used, key=ALPHABETS.index):
         out = []
         for c, s in zip(fixed, scripts, strict=True):
             if s == target or s not in ALPHABETS:
@@ -160,27 +176,29 @@ def plain_form(text: str | None) -> str | None:
     """The text in its one consistent form; null stays null. A second time changes nothing."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
-    pattern, _ = _tables()
     out, at = [], 0
-    for m in pattern.finditer(text):
-        out += [text[at : m.start()], _segment(text, m.start(), m.end())]
-        at = m.end()
+    for start, end in _segments(text):
+        out += [text[at:start], _segment(text, start, end)]
+        at = end
     spliced = "".join(out) + text[at:]
     if not unicodedata.is_normalized("NFC", spliced) and at:
         # what was parted by something invisible may now combine
         spliced = "".join(_recombined(spliced))
-    return _WORD.sub(_one_alphabet, spliced) if not spliced.isascii() else spliced
+    if spliced.isascii():
+        return spliced
+    out = _WORD.sub(_one_alphabet, spliced)
+    # a letter of another alphabet may combine with the mark after it
+    return out if out == spliced or unicodedata.is_normalized("NFC", out) else "".join(_recombined(out))
 
 
 def _recombined(text: str) -> Iterator[str]:
-    pattern, _ = _tables()
     at = 0
-    for m in pattern.finditer(text):
-        yield text[at : m.start()]
-        s = m.group()
+    for start, end in _segments(text):
+        yield text[at:start]
+        s = text[start:end]
         c = unicodedata.normalize("NFC", s)
         yield c if len(c) <= len(s) else s
-        at = m.end()
+        at = end
     yield text[at:]
 
 
