@@ -10,6 +10,7 @@ mostly of such stretches is flagged.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, spread
+
 # Function words by kind, for English, Spanish and German.
 KINDS = {
     "A": "a an the this that these those every each some any all both no el la los las un una unos unas lo este esta estos estas cada toda todo todas todos der die das den dem des ein eine einen einem einer eines jede jeder jedes alle kein keine",
@@ -72,6 +75,13 @@ def _stem(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") else word
 
 
+@functools.lru_cache(1 << 16)
+def _word(text: str) -> tuple[str | None, str]:
+    """(kind of function word or None, stem)."""
+    low = text.lower()
+    return _FUNCTION.get(low), _stem(low)
+
+
 def sentences(text: str) -> list[tuple[int, str]]:
     """(number of line, sentence) of the running text."""
     out = []
@@ -86,7 +96,7 @@ def keywords(parts: list[list[tuple[str, str]]], share: float = 0.07, least: int
     count: Counter[str] = Counter()
     pairs: Counter[str] = Counter()
     for part in parts:
-        count.update(_stem(t.lower()) for g, t in part if g == "word")
+        count.update(_word(t)[1] for g, t in part if g == "word")
         pairs.update(a[1] + b[1] for a, b in zip(part, part[1:], strict=False) if a[0] == b[0] == "han" and a[1] not in _HAN and b[1] not in _HAN)
     words, total = sum(count.values()), sum(pairs.values())
     return frozenset([w for w, n in count.items() if n >= least and n >= share * words and w not in _FUNCTION] + [w for w, n in pairs.items() if n > least and n >= share * total])
@@ -97,10 +107,9 @@ def classes(part: list[tuple[str, str]], keys: frozenset[str]) -> str:
     out = []
     for i, (g, t) in enumerate(part):
         if g == "word":
-            low = t.lower()
-            kind = _FUNCTION.get(low)
+            kind, stem = _word(t)
             if kind is None:
-                kind = "K" if _stem(low) in keys else "M" if out and t[0].isupper() else "C"
+                kind = "K" if stem in keys else "M" if out and t[0].isupper() else "C"
             out.append(kind)
         elif g == "link":
             out.append("L")
@@ -147,6 +156,9 @@ def parts_of(text: str) -> list[tuple[int, str, str]]:
             kinds[k] = "plain"
     raw = []
     for k, s in sentences(text):
+        if k in kinds:
+            raw.append((k, s, []))
+            continue
         said = _EXPLAINED.match(s)
         toks = tokens(s[said.end() :] if said else s)
         if said and len(toks) < 4:
@@ -243,7 +255,8 @@ def class_sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({"key": pdf["key"], "parts": [_pack(parts_of(t)) if t else "" for t in pdf["text"]]})
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, parts string")
+    slim = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
+    return slim.mapInPandas(run, f"key {kind}, parts string")
 
 
 def prose_model(sequences: DataFrame) -> Model:
@@ -272,8 +285,6 @@ def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Texts without running text (null, empty, only code) have share 0 and perplexity 1.
     """
-    from ..session import cut
-
     sequences = cut(class_sequences(docs, key, text))
     model = prose_model(sequences)
 
