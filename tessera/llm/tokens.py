@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Where the vocabulary files are; they are never copied here.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,4 +42,5 @@ def token_count(text: Column, folder: str = FOLDER, vocabulary: str = VOCABULARY
 
 def sized(docs: DataFrame, key: str, text: str, *more: str, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """key, more..., n_tokens."""
-    return docs.select(key, *more, token_count(F.col(text), folder, vocabulary).alias("n_tokens"))
+    slim = spread(docs.select(key, *more, text), key)
+    return slim.select(key, *more, token_count(F.col(text), folder, vocabulary).alias("n_tokens"))
