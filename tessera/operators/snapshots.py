@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import partitions_for
 from .skew import skew_join
 
 #: Rows of a bucket, about; a bucket is held by one Python worker at a time.
@@ -136,7 +137,7 @@ def snapshot_changes(snaps: DataFrame, feed: str, no: str, key: str, delivered:
     buckets = max(1, -(-snaps.count() // BUCKET_ROWS))
     rows = skew_join(rows, chain(snaps, feed, no), ["feed", "no"])
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("feed", "id"), F.lit(buckets)).cast("int"))
-    rows = rows.repartition("bucket")
+    rows = rows.repartition(partitions_for(snaps.sparkSession, buckets), "bucket")
     rows = rows.withColumn("ordinal", F.dense_rank().over(Window.partitionBy("bucket", "feed").orderBy("id")) - 1)
     names = [f"v{k}" for k in range(len(values))]
     rows = rows.select("bucket", "feed", "no", "id", "prev", "next", "ordinal", *names)

@@ -59,3 +59,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     want = 3 * spark.sparkContext.defaultParallelism
     have = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if have >= want else df.repartition(want, F.xxhash64(key))
+
+
+def partitions_for(spark: SparkSession, groups: int) -> int:
+    """Partitions for groups that are each worked on in Python: one a group, up to what the session shuffles into or four a core.
+
+    A number that is given is left alone by the adaptive planner, which would put groups
+    of few bytes but much work into one task.
+    """
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return max(1, min(groups, most))
