@@ -49,7 +49,7 @@ _TOKEN = re.compile(
 # Lines that are no running text: headings, fences, code, settings, routes, parameters, quotes of calls.
 _PLAIN = re.compile(
     r"^\s*(?:```|~~~|import\s|from\s+\w+\s+import|def\s|class\s|return\b|assert\b|for\s+\w+\s+in\s.*:$|if\s.*:$|print\(|curl\s|\$\s|//|/\*|"
-    r"(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/|[-*]?\s*`[^`]+`|[-*]?\s*[\w./{}\"'-]+:(?:\s+\S+){0,3}\s*$|[{}\[\]()\"'];?,?\s*$|\"[^\"]*\"\s*:|\w+\s*=\s|.*[;{}]\s*$|.*=>|\s*@\w)"
+    r"(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/|[-*]?\s*`[^`]+`|[-*]?\s*[\w./{}\"'-]+:(?:\s+\S+){0,3}\s*$|[{}\[\]()\"'];?,?\s*$|\"[^\"]*\"\s*:|\w+\s*=\s|.*[=(){}\[\]].*;\s*$|.*[{}]\s*$|.*=>|\s*@\w)"
 )
 # Entries of change lists stand under a version; status notes start with a time of day.
 _VERSION = re.compile(r"^\s*#{0,6}\s*\[?v?\d+(?:\.\d+)+\b")
