@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import partitions_for
+
 #: Texts of a block, about.
 BLOCK = 20_000
 
@@ -89,6 +91,7 @@ def containers(sized: DataFrame, sizes: DataFrame, key: str = "doc_id", tokens:
             out.append(pd.DataFrame({"name": label, "key": keys[row], "piece": piece, "first_token": piece * cap, "n": np.where(last, rest[row], cap), "container": (np.int64(block) << 32) + where}))
         return pd.concat(out) if out else pd.DataFrame(columns=["name", "key", "piece", "first_token", "n", "container"])
 
+    items = items.repartition(partitions_for(sized.sparkSession, blocks), "block")
     got = items.groupBy("block").applyInPandas(run, f"name string, key {kind}, piece long, first_token long, n long, container long")
     return got.select(F.col("name").alias(name), F.col("key").alias(key), "piece", "first_token", F.col("n").alias(tokens), "container")
 
