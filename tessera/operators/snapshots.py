@@ -3,8 +3,9 @@
 Every key of a feed gets an ordinal that it keeps through all snapshots. A snapshot is
 a compressed bitmap of ordinals: AND-NOT with the neighbour gives the keys added and
 removed, AND gives the common ones, whose values are compared in column vectors that
-are aligned by ordinal. Keys are spread over buckets by hash, so that a feed with a
-third of all rows is worked on by many tasks; bitmaps of a bucket stand on their own.
+are aligned by ordinal. Feeds are spread over buckets, and the keys of a large feed over
+several by hash, so that a feed with a third of all rows is worked on by many tasks;
+bitmaps of a bucket stand on their own.
 """
 
 from __future__ import annotations
@@ -121,10 +122,11 @@ def current_rows(snaps: DataFrame, feed: str, no: str, key: str, delivered: str,
 
 
 def chain(snaps: DataFrame, feed: str, no: str) -> DataFrame:
-    """feed, no, prev, next: the snapshots present and their neighbours in the feed; a row a snapshot."""
+    """feed, no, prev, next, parts: the snapshots present, their neighbours in the feed, and how many parts its rows are worth; a row a snapshot."""
     w = Window.partitionBy("feed").orderBy("no")
-    one = snaps.select(F.col(feed).alias("feed"), F.col(no).cast("int").alias("no")).dropna().distinct()
-    return one.select("feed", "no", F.lag("no").over(w).alias("prev"), F.lead("no").over(w).alias("next"))
+    one = snaps.select(F.col(feed).alias("feed"), F.col(no).cast("int").alias("no")).dropna().groupBy("feed", "no").agg(F.count(F.lit(1)).alias("rows"))
+    parts = F.ceil(F.sum("rows").over(Window.partitionBy("feed")) / BUCKET_ROWS).cast("int")
+    return one.select("feed", "no", F.lag("no").over(w).alias("prev"), F.lead("no").over(w).alias("next"), parts.alias("parts"))
 
 
 def snapshot_changes(snaps: DataFrame, feed: str, no: str, key: str, delivered: str, values: dict[str, Column]) -> DataFrame:
@@ -136,7 +138,9 @@ def snapshot_changes(snaps: DataFrame, feed: str, no: str, key: str, delivered:
     rows = current_rows(snaps, feed, no, key, delivered, values)
     buckets = max(1, -(-snaps.count() // BUCKET_ROWS))
     rows = skew_join(rows, chain(snaps, feed, no), ["feed", "no"])
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("feed", "id"), F.lit(buckets)).cast("int"))
+    # a small feed is whole in one bucket, a large one is in as many as its rows are worth
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("feed", part), F.lit(buckets)).cast("int"))
     rows = rows.repartition(partitions_for(snaps.sparkSession, buckets), "bucket")
     rows = rows.withColumn("ordinal", F.dense_rank().over(Window.partitionBy("bucket", "feed").orderBy("id")) - 1)
     names = [f"v{k}" for k in range(len(values))]
