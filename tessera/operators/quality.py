@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions import urls as U
 from ..functions.times import is_rfc3339
+from ..session import spread
 
 RIGHTS_KEYS = ("attribution", "authorization", "community_attribution", "community_license", "license", "license_url", "notes", "repository_visibility", "scope", "terms_url", "usage_basis")
 MAX_NAME, MAX_TEXT, MAX_ITEMS = 512, 8192, 256
@@ -62,7 +63,7 @@ def record_errors(records: DataFrame, key: str = "row_id") -> DataFrame:
         _err(F.col("rights").isNull(), "rights", "must be a map"),
         _err(some(F.size(F.array_except(F.map_keys("rights"), F.array(*[F.lit(k) for k in RIGHTS_KEYS]))) > 0), "rights", "has an unknown key"),
     ]
-    return records.select(key, F.inline(F.array_compact(F.array(*checks))))
+    return spread(records, key).select(key, F.inline(F.array_compact(F.array(*checks))))
 
 
 def repeated_keys(records: DataFrame, by: Column, path: str, message: str, key: str = "row_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import urls as U
-from ..session import cut
+from ..session import cut, spread
 from .skew import FLOOR, SHARE, heavy_keys, skew_join
 
 
@@ -16,6 +16,7 @@ def identity_tokens(records: DataFrame, key: str = "row_id") -> DataFrame:
 
     Null and blank values give no token; a record without any is in no row.
     """
+    records = spread(records.select(key, "id", "provider", "docs_url", "name", "aliases"), key)
     flat = records.select(key, "id", "provider", "docs_url", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("called"))
     label = R.identity_label(F.col("called"))
     named = flat.where((F.trim(F.coalesce("provider", F.lit(""))) != "") & (F.trim(F.coalesce("called", F.lit(""))) != ""))
@@ -83,7 +84,7 @@ def merge_groups(records: DataFrame, groups: DataFrame, key: str = "row_id") ->
     """
     kinds = dict(records.dtypes)
     rows = records.join(groups, key).withColumn("ord", F.struct(F.coalesce("id", F.lit("")).alias("i"), F.to_json(F.struct(*[c for c in records.columns])).alias("j")))
-    rows = rows.withColumn("known_auth", F.coalesce(F.exists("auth", lambda x: x["type"] != "unknown"), F.lit(False)))
+    rows = cut(rows.withColumn("known_auth", F.coalesce(F.exists("auth", lambda x: x["type"] != "unknown"), F.lit(False))))  # read six times
     last = lambda c: F.max_by(c, F.when(meaningful(F.col(c), kinds[c]), F.col("ord")))
     primary = lambda c: F.coalesce(F.max_by(F.when(meaningful(F.col(c), kinds[c]), F.col(c)), "ord"), last(c))
     one = rows.groupBy("group").agg(

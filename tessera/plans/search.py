@@ -17,6 +17,7 @@ from ..functions import records as R
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.times import rfc3339_micros
+from ..session import spread
 
 # Fixed values of the ranking model.
 WEIGHTS = {"name": 8.0, "aliasesTags": 4.5, "categories": 2.75, "description": 1.0}
@@ -101,6 +102,7 @@ def build_index(records: DataFrame, key: str = "row_id") -> DataFrame:
 
     Null fields have no terms. Write the result as a table to search it many times.
     """
+    records = spread(records, key)
     latest = F.array_compact(F.concat(
         F.array(_stamp(F.col("last_checked_at"))),
         F.coalesce(F.transform("provenance", lambda p: _stamp(p["retrieved_at"])), F.array().cast("array<struct<at:bigint,text:string>>")),

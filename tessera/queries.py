@@ -13,7 +13,7 @@ from .functions import text as T
 from .functions import urls as U
 from .operators import catalog, quality, rejects, resolve, snapshots
 from .plans import search as S
-from .session import cut
+from .session import cut, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,7 +64,7 @@ WHERE r.counts.after IS DISTINCT FROM coalesce(x.n, 0) OR r.counts.before IS DIS
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     words = docs.select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
     per = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return per.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("df"))
@@ -185,7 +185,7 @@ SLUG_SQL = f"SELECT p_partkey, {_slug('p_name')} AS slug, {_slug('p_name')} AS l
 
 
 def url_forms(spark: SparkSession, sf: str) -> DataFrame:
-    r = read(spark, sf, "catalog_records")
+    r = spread(read(spark, sf, "catalog_records").select("row_id", "docs_url", "provider"), "row_id")
     u = F.col("docs_url")
     return r.select("row_id", U.safe_public_url(u).alias("safe"), U.canonical_url(u).alias("canonical"), U.url_identity(u).alias("same"), U.provider_from_url(u, F.col("provider")).alias("provider_host"), U.url_problem(u).alias("problem"))
 
