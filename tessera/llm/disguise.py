@@ -108,7 +108,7 @@ def _joiner_needed(text: str, i: int) -> bool:
         return False
     a, b = unicodedata.category(before), unicodedata.category(after)
     emoji = (a in ("So", "Sk") and not _folds(ord(before))) or before in "️⃣"
-    if text[i] == "‍" and emoji and (b == "So" or after in "♀♂"):
+    if text[i] == "‍" and emoji and ((b == "So" and not _folds(ord(after))) or after in "♀♂"):
         return True
     joining = ("ARABIC", "SYRIAC", "MONGOLIAN", "NKO", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "KHMER", "MYANMAR", "TIBETAN", "THAANA", "MANDAIC", "ADLAM")
     return _script(before) in joining and (_script(after) in joining or not after.isalnum())
@@ -173,9 +173,22 @@ def _one_alphabet(match: re.Match) -> str:
 
 
 def plain_form(text: str | None) -> str | None:
-    """The text in its one consistent form; null stays null. A second time changes nothing."""
+    """The text in its one consistent form; null stays null. A second time changes nothing.
+
+    What one pass removes may bring together what a next pass joins, so passes are made
+    until nothing changes; each leaves fewer unusual characters.
+    """
     if text is None or (text.isascii() and text.isprintable()):
         return text
+    for _ in range(len(text) + 1):
+        once = _one_pass(text)
+        if once == text:
+            break
+        text = once
+    return text
+
+
+def _one_pass(text: str) -> str:
     out, at = [], 0
     for start, end in _segments(text):
         out += [text[at:start], _segment(text, start, end)]
