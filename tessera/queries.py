@@ -208,6 +208,10 @@ def validation_errors(spark: SparkSession, sf: str) -> DataFrame:
     return quality.record_errors(read(spark, sf, "catalog_records"))
 
 
+def catalog_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.catalog_errors(read(spark, sf, "catalog_records"))
+
+
 def _checks() -> str:
     out = []
 
@@ -324,7 +328,7 @@ def index_records(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, repeated_ids,
+        p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, catalog_errors, repeated_ids,
         identity_tokens, entity_groups, merged_records, part_groups, provider_tags, snapshot_diff, row_hashes, content_version, index_records,
     )
 } | {k: _search(a) for k, a in SEARCHES.items()}
