@@ -291,12 +291,12 @@ TAGS_SQL = """SELECT provider, string_agg(v, '|' ORDER BY k, v) AS tags FROM (
 
 
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Between the first and the last snapshot of each feed."""
+    """Between the first and the last snapshot of each feed, in all content columns; the order of tags is no content."""
     s = read(spark, sf, "catalog_snapshots")
     ends = s.groupBy("feed_id").agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
-    v = ["name", "description", "provider", "docs_url", "auth_type", "https", "cors", "status"]
-    side = lambda c: s.join(ends, "feed_id").where(F.col("snapshot_no") == F.col(c)).groupBy("feed_id", "id").agg(F.max_by(F.struct(*v), "delivered_at").alias("r")).select("feed_id", "id", "r.*")
-    return catalog.snapshot_diff(side("lo"), side("hi"), ["feed_id", "id"], v)
+    content = _content()
+    side = lambda c: s.join(ends, "feed_id").where(F.col("snapshot_no") == F.col(c)).groupBy("feed_id", "id").agg(F.max_by(F.struct(*[c.alias(n) for n, c in content.items()]), "delivered_at").alias("r")).select("feed_id", "id", "r.*")
+    return catalog.snapshot_diff(side("lo"), side("hi"), ["feed_id", "id"], list(content))
 
 
 DIFF_SQL = """WITH e AS (SELECT feed_id, min(snapshot_no) AS lo, max(snapshot_no) AS hi FROM catalog_snapshots GROUP BY feed_id),
