@@ -30,6 +30,22 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]), "\x1f"), 256)
 
 
+def record_text() -> Column:
+    """A record as one text: every field of the schema, with last_checked_at and the sources' retrieved_at as null, maps by key.
+
+    row_id and ingested_at belong to the table a record is delivered in, not to the
+    record: the same records under other numbers, or loaded at another time, are the
+    same catalogue. Lists keep their order, nulls are written.
+    """
+    blank = {
+        "last_checked_at": F.lit(None).cast("string"),
+        "provenance": F.transform("provenance", lambda p: F.when(p.isNotNull(), p.withField("retrieved_at", F.lit(None).cast("string")))),
+        "rights": F.array_sort(F.map_entries("rights")),
+    }
+    fields = [c.split()[0] for c in R.RECORD.replace("\n", " ").split(", ")]
+    return F.to_json(F.struct(*[blank.get(n, F.col(n)).alias(n) for n in fields if n != "row_id"]), {"ignoreNullFields": "false"})
+
+
 def content_version(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row, version: v1- and 16 hex digits of a hash of all rows, whatever their order.
 

@@ -315,7 +315,8 @@ HASH_SQL = "SELECT c_custkey, sha256(c_custkey || chr(31) || c_name || chr(31) |
 
 
 def content_version(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.content_version(read(spark, sf, "catalog_records"), ["row_id", "id", "name", "description", "docs_url"])
+    r = read(spark, sf, "catalog_records")
+    return catalog.content_version(r.select(catalog.record_text().alias("record")), ["record"])
 
 
 def index_records(spark: SparkSession, sf: str) -> DataFrame:

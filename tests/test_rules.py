@@ -9,7 +9,7 @@ import duckdb
 
 from tessera import queries
 from tessera.functions.records import RECORD
-from tessera.operators import quality
+from tessera.operators import catalog, quality
 
 from .test_catalog import rec
 
@@ -108,3 +108,24 @@ def test_table(spark, tiny):
     whole = queries.catalog_errors(spark, tiny).collect()
     assert {r.row_id for r in whole if r.path == "name" and r.message.startswith("is a name")} == same and same
     assert Counter(tuple(r) for r in whole) > got
+
+
+def test_version_of_whole_records(spark):
+    """Every field of a record makes another version, but the two times that are no content and the number of the row."""
+    base = {"docs_url": URL, "auth": [NONE], "provenance": [source()], "openapi": api(), "rights": {"license": "MIT", "notes": None}}
+    version = lambda *rows: catalog.content_version(spark.createDataFrame(rows, RECORD).select(catalog.record_text().alias("record")), ["record"]).first().version
+    first = version(rec(1, "a", "A", **base), rec(2, "b", "B"))
+    same = [
+        (rec(2, "b", "B"), rec(1, "a", "A", **base)),
+        (rec(8, "a", "A", **base), rec(9, "b", "B")),
+        (rec(1, "a", "A", **base | {"last_checked_at": "2025-01-01T00:00:00Z"}), rec(2, "b", "B")),
+        (rec(1, "a", "A", **base | {"provenance": [source(retrieved_at="2025-01-01T00:00:00Z")]}), rec(2, "b", "B")),
+        (rec(1, "a", "A", **base | {"rights": {"notes": None, "license": "MIT"}}), rec(2, "b", "B")),
+    ]
+    assert [version(*rows) for rows in same] == [first] * len(same)
+    changes = [
+        {"aliases": ["x"]}, {"description": "x"}, {"categories": ["x"]}, {"tags": ["x"]}, {"tags": None}, {"provider": "x"}, {"source_tier": "x"}, {"docs_url": None}, {"homepage_url": "x"}, {"auth": [("none", "unknown", "", "s", 0.5)]}, {"auth": None},
+        {"https": "x"}, {"cors": "x"}, {"status": "x"}, {"openapi": None}, {"openapi": api(path_count=1)}, {"provenance": [source(revision="x")]}, {"provenance": [source(license="x")]}, {"provenance": []}, {"quality_flags": ["x"]}, {"rights": {"license": "MIT"}}, {"rights": {"license": "x", "notes": None}},
+    ]
+    others = [version(rec(1, "a", "A", **base | c), rec(2, "b", "B")) for c in changes] + [version(rec(1, "x", "A", **base), rec(2, "b", "B")), version(rec(1, "a", "x", **base), rec(2, "b", "B"))]
+    assert len({first, *others}) == len(others) + 1
