@@ -54,7 +54,8 @@ _PLAIN = re.compile(
 # Entries of change lists stand under a version; status notes start with a time of day.
 _VERSION = re.compile(r"^\s*#{0,6}\s*\[?v?\d+(?:\.\d+)+\b")
 _CLOCK = re.compile(r"^\s*(?:\d{4}-\d{2}-\d{2}[T ])?\d{1,2}:\d{2}(?::\d{2})?\s*(?:UTC|GMT|Z|[AP]M)?\b")
-_HEAD = re.compile(r"^\s*#{1,6}\s|^\s*(?i:tags|keywords|labels|topics|see also)\s*:\s*(?:[^\s,;]+[,;]?\s*){1,10}$|^\s*(?:\|?\s*:?-{3,}:?\s*)+\|?\s*$")
+# Possessive repeats: a run of dashes or letters is taken whole, so a line that doesn't match is left in linear time.
+_HEAD = re.compile(r"^\s*#{1,6}\s|^\s*(?i:tags|keywords|labels|topics|see also)\s*:\s*+(?:[^\s,;]++[,;]?+\s*+){1,10}$|^\s*+(?:\|?\s*+:?-{3,}+:?+\s*+)+\|?\s*$")
 _LINK = re.compile(r"<a\s|\]\(https?:|^\s*#\w")
 # A link followed by words about it: the words are judged.
 _EXPLAINED = re.compile(r"^\s*(?:[-*+|]|\d+[.)])?\s*\[[^\[\]\n]*\]\([^()\s]*\)\s*(?:[:|]|[-–—]\s)")

@@ -291,3 +291,13 @@ def test_stuffed_pages(spark):
     assert {r.doc_id for r in stuffing.stuffed_pages(df).collect()} == set(SPAM)
     assert stuffing.page_scores(df).count() == len(rows)
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
+
+
+def test_heads_in_linear_time():
+    """Long rules and tag lists followed by anything else are told at once; a process of its own, so a slow pattern can be ended."""
+    import subprocess
+    import sys
+
+    code = "from tessera.llm.stuffing import _HEAD as h; print([bool(h.match(s)) for s in ('-' * 5000 + ' x', '--- ' * 500 + 'x', '---:' * 500 + 'x', 'Tags: ' + 'word, ' * 60, 'Tags: ' + 'w' * 500 + ',,', '|:---|---:| --- |', '-' * 80, 'Tags: a, b')])"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=30, check=True)
+    assert done.stdout.strip() == str([False] * 5 + [True] * 3)
