@@ -91,7 +91,7 @@ def name_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 PHRASE_SQL = f"SELECT row_id, array_to_string({Q.words('name')}, ' ') AS normalized, {Q.phrase('name')} AS canonical FROM catalog_records"
 
-#: Concepts used by the search queries, in order.
+#: Concepts used by the search queries that have SQL, in order; the others take those of query_aliases.
 ALIASES = [
     ("weather", ["meteorology", "climate", "天气", "气象"]), ("forecast", ["weather forecast", "天气预报", "预报"]), ("stocks", ["stock", "equities", "stock market", "股票", "股价"]),
     ("historical data", ["history", "historical", "time series", "历史", "历史数据"]), ("market data", ["market quotes", "行情", "市场行情"]), ("geolocation", ["location", "geocoding", "地理位置"]),
@@ -116,18 +116,26 @@ def _search(arguments: dict) -> Query:
     return run
 
 
+def search_delivered(spark: SparkSession, sf: str) -> DataFrame:
+    """The search of search_filtered without its filters, with the delivered concepts."""
+    index = cut(S.build_index(read(spark, sf, "catalog_records")))
+    found = S.search(index, S.load_aliases(read(spark, sf, "query_aliases")), query="music lyric feed", limit=20)
+    return found.select("rank", "doc", "id", "name", "score", F.array_join("reasons", "; ").alias("reasons"), "source_tier", "freshness", "docs_url")
+
+
 def search_totals(spark: SparkSession, sf: str) -> DataFrame:
+    aliases = S.load_aliases(read(spark, sf, "query_aliases"))
     index = cut(S.build_index(read(spark, sf, "catalog_records")))
     out = None
     for a in SEARCHES.values():
-        one = S.search_summary(index, ALIASES, **a)
+        one = S.search_summary(index, aliases, **a)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def render_results(spark: SparkSession, sf: str) -> DataFrame:
     index = cut(S.build_index(read(spark, sf, "catalog_records")))
-    return S.render_rows(S.search(index, ALIASES, query="weather", limit=20))
+    return S.render_rows(S.search(index, S.load_aliases(read(spark, sf, "query_aliases")), query="weather", limit=20))
 
 
 def query_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +337,7 @@ def index_records(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, catalog_errors, repeated_ids,
+        p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_delivered, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, catalog_errors, repeated_ids,
         identity_tokens, entity_groups, merged_records, part_groups, provider_tags, snapshot_diff, row_hashes, content_version, index_records,
     )
 } | {k: _search(a) for k, a in SEARCHES.items()}

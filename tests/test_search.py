@@ -90,3 +90,20 @@ def test_empty_and_null_records(spark):
     ix = S.build_index(spark.createDataFrame([none, *ROWS], RECORD))
     assert S.search(ix, ALIASES, query="weather").count() == 2
     assert S.search(S.build_index(spark.createDataFrame([], RECORD)), ALIASES, query="weather").count() == 0
+
+
+def test_delivered_aliases(spark, tiny):
+    """Searches without SQL expand and gate with the concepts of query_aliases."""
+    from tessera import queries
+    from tessera.plans import search as S
+
+    aliases = S.load_aliases(queries.read(spark, tiny, "query_aliases"))
+    e = S.expand_query("music lyric feed", aliases)
+    assert e.matched and e.matched != S.expand_query("music lyric feed", queries.ALIASES).matched
+    total = {r.query: r for r in queries.search_totals(spark, tiny).collect()}
+    for a in queries.SEARCHES.values():
+        want = S.expand_query(a["query"], aliases)
+        assert total[a["query"]].matched_aliases == ", ".join(want.matched) and total[a["query"]].expanded == " ".join(want.terms)
+    index = S.build_index(queries.read(spark, tiny, "catalog_records"))
+    want = S.search(index, aliases, query="music lyric feed", limit=20).select("rank", "doc", "score").collect()
+    assert [tuple(r) for r in queries.search_delivered(spark, tiny).select("rank", "doc", "score").collect()] == [tuple(r) for r in want] and want
