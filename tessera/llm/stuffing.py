@@ -1,304 +1,443 @@
 """Pages of stuffed keywords, link lists and tag lists among prose.
 
-A text is read as a sequence of word classes: function words by their kind, content
-words by whether they are keywords of the text, links, tags, numbers, marks. A trigram
-model of these classes is trained on the prose of the whole collection. A stretch of
-text whose perplexity under it is abnormally high (keywords without grammar, keywords
-far too often) or low (one class over and over) is no prose, and a page that consists
-mostly of such stretches is flagged.
+A text is read as a sequence of word classes: very common and common words of its
+language, other words, words that hold an unusual share of the text, words that no other
+text knows, links, tags, numbers and marks. Which words are common is learned from how
+many texts of a language have them, so no list of words is written down here.
+
+Two trigram models of these classes are trained. The prose model learns from the texts
+with the densest common words. The model of structured text (code, settings, tables,
+change lists) learns from lines with marks of structure or common words and few
+keywords, links and tags; runs of words without any mark it leaves to the prose model.
+A line is judged by the model that it suits better, and every line of every text is
+judged; words that no other text has are no evidence, so a language that the collection
+hardly knows is judged by its marks, repetitions and links. A page whose perplexity is abnormally high, for more than half of its text, is
+no prose; nor is a page that says so little new that its perplexity, with what it has
+said before known, is abnormally low.
 """
 
 from __future__ import annotations
 
-import functools
-import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
-
-# Function words by kind, for English, Spanish and German.
-KINDS = {
-    "A": "a an the this that these those every each some any all both no el la los las un una unos unas lo este esta estos estas cada toda todo todas todos der die das den dem des ein eine einen einem einer eines jede jeder jedes alle kein keine",
-    "P": "of in to for with on at by from into about under over before after between until since without within during through across per than as out up off de en con por para sin sobre entre hasta desde a al del und in im am an auf aus bei mit nach von vor zu zum zur für ohne um über unter durch bis seit",
-    "J": "and or but nor so if when while because unless although even once where whether y o u e pero si cuando porque aunque que und oder aber wenn weil dass damit so als ob denn",
-    "N": "i you he she it we they me him her us them my your his its our their mine ours who which what whom whose there here yo tú él ella nosotros ellos se su sus le les me te nos mi ich du er sie es wir ihr ihm ihn uns sich sein seine ihre man dort hier wer wen wem was welche welcher welches diese dieser dieses quien quienes cual",
-    "V": "is are was were be been being am do does did done has have had having can could may might must shall should will would es son fue era ser está están hay ha han puede pueden debe deben tiene ist sind war waren sein wird werden wurde hat haben kann können darf dürfen muss müssen soll steht gilt gelten",
-    "D": "not only also just yet still then now again how why too very more most less same other another such own many few several one two no nunca nie ni ya más muy también solo nicht nur auch noch dann schon sehr mehr höchstens wie zurück hin her dort hier nichts etwas immer",
-}
-# Characters that do the same in Chinese.
-HAN = "的了在是和也就都而及与或被把从对为以于请会将并但如果这那其些个不要有没可能需之后前再所到等上下中给由让向把你我他它们每条一即时未已还"
-
-_FUNCTION = {w: k for k, ws in KINDS.items() for w in ws.split()}
-_HAN = frozenset(HAN)
-_TOKEN = re.compile(
-    r"(?P<code>`[^`\n]*`)"
-    r"|(?P<link>\[[^\[\]\n]*\]\([^()\s]*\)|<a\s[^<>\n]*>[^<\n]*</a>|(?:https?://|www\.)[^\s<>)\]]+)"
-    r"|(?P<tag>#\w[\w-]*)"
-    r"|(?P<gap>(?<=[㐀-䶿一-鿿A-Za-z])[ \t]+(?=[㐀-䶿一-鿿]))"
-    r"|(?P<han>[㐀-䶿一-鿿])"
-    r"|(?P<num>\d[\d.,:%]*)"
-    r"|(?P<word>[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*)"
-    r"|(?P<mark>[^\w\s]|_)"
-)
-# Lines that are no running text: headings, fences, code, settings, routes, parameters, quotes of calls.
-_PLAIN = re.compile(
-    r"^\s*(?:```|~~~|import\s|from\s+\w+\s+import|def\s|class\s|return\b|assert\b|for\s+\w+\s+in\s.*:$|if\s.*:$|print\(|curl\s|\$\s|//|/\*|"
-    r"(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/|[-*]?\s*`[^`]+`|[-*]?\s*[\w./{}\"'-]+:(?:\s+\S+){0,3}\s*$|[{}\[\]()\"'];?,?\s*$|\"[^\"]*\"\s*:|\w+\s*=\s|.*[=(){}\[\]].*;\s*$|.*[{}]\s*$|.*=>|\s*@\w)"
-)
-# Entries of change lists stand under a version; status notes start with a time of day.
-_VERSION = re.compile(r"^\s*#{0,6}\s*\[?v?\d+(?:\.\d+)+\b")
-_CLOCK = re.compile(r"^\s*(?:\d{4}-\d{2}-\d{2}[T ])?\d{1,2}:\d{2}(?::\d{2})?\s*(?:UTC|GMT|Z|[AP]M)?\b")
-# Possessive repeats: a run of dashes or letters is taken whole, so a line that doesn't match is left in linear time.
-_HEAD = re.compile(r"^\s*#{1,6}\s|^\s*(?i:tags|keywords|labels|topics|see also)\s*:\s*+(?:[^\s,;]++[,;]?+\s*+){1,10}$|^\s*+(?:\|?\s*+:?-{3,}+:?+\s*+)+\|?\s*$")
-_LINK = re.compile(r"<a\s|\]\(https?:|^\s*#\w")
-# A link followed by words about it: the words are judged.
-_EXPLAINED = re.compile(r"^\s*(?:[-*+|]|\d+[.)])?\s*\[[^\[\]\n]*\]\([^()\s]*\)\s*(?:[:|]|[-–—]\s)")
-_BULLET = re.compile(r"^\s*[-*+]\s+")
-_END = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n")
-_ANCHOR = re.compile(r"^\[([^\[\]]*)\]|^<a\s[^<>]*>([^<]*)<")
-_CELL = re.compile(r"\s\|\s|^\s*\||\|\s*$")
-
-CLASSES = ("s", "A", "P", "J", "N", "V", "D", "C", "M", "K", "L", "T", "H", "h", "0", ",", ".", ":", "-", "`", "^")
-
-
-def tokens(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of each token."""
-    return [(m.lastgroup, m.group()) for m in _TOKEN.finditer(text)]
-
-
-def _stem(word: str) -> str:
-    return word[:-1] if len(word) > 3 and word.endswith("s") else word
-
-
-@functools.lru_cache(1 << 16)
-def _word(text: str) -> tuple[str | None, str]:
-    """(kind of function word or None, stem)."""
-    low = text.lower()
-    return _FUNCTION.get(low), _stem(low)
-
-
-def sentences(text: str) -> list[tuple[int, str]]:
-    """(number of line, sentence) of the running text."""
-    out = []
-    for k, line in enumerate(text.split("\n")):
-        if line.strip():
-            out += [(k, s) for s in _END.split(line) if s and s.strip()]
-    return out
-
-
-def keywords(parts: list[list[tuple[str, str]]], share: float = 0.07, least: int = 3) -> frozenset[str]:
-    """Content words (in Chinese: pairs of characters) that hold an unusual share of a text, counted once for each different sentence."""
-    count: Counter[str] = Counter()
-    pairs: Counter[str] = Counter()
-    for part in parts:
-        count.update(_word(t)[1] for g, t in part if g == "word")
-        pairs.update(a[1] + b[1] for a, b in zip(part, part[1:], strict=False) if a[0] == b[0] == "han" and a[1] not in _HAN and b[1] not in _HAN)
-    words, total = sum(count.values()), sum(pairs.values())
-    return frozenset([w for w, n in count.items() if n >= least and n >= share * words and w not in _FUNCTION] + [w for w, n in pairs.items() if n > least and n >= share * total])
-
-
-def classes(part: list[tuple[str, str]], keys: frozenset[str]) -> str:
-    """The word classes of a sentence, one character each."""
-    out = []
-    for i, (g, t) in enumerate(part):
-        if g == "word":
-            kind, stem = _word(t)
-            if kind is None:
-                kind = "K" if stem in keys else "M" if out and t[0].isupper() else "C"
-            out.append(kind)
-        elif g == "link":
-            out.append("L")
-            anchor = _ANCHOR.match(t)
-            if anchor:
-                words = (anchor.group(1) or anchor.group(2) or "").split()
-                out += ["K" if _stem(w.lower()) in keys else "C" for w in words]
-        elif g == "tag":
-            out.append("T")
-        elif g == "han":
-            near = (part[i - 1][1] + t if i else "", t + part[i + 1][1] if i + 1 < len(part) else "")
-            out.append("h" if t in _HAN else "K" if near[0] in keys or near[1] in keys else "H")
-        elif g == "gap":
-            out.append("s")
-        elif g == "num":
-            out.append("0")
-        elif g == "code":
-            out.append("`")
-        else:
-            out.append("," if t in ",;、，；" else "." if t in ".!?。！？" else ":" if t in ":：" else "-")
-    return "".join(out)
-
-
-def _title(line: str) -> bool:
-    return len(line) <= 80 and len(line.split()) <= 8 and not re.search(r"[.!?。！？,;#]|https?:", line)
-
-
-def parts_of(text: str) -> list[tuple[int, str, str]]:
-    """(characters, classes, kind) of each sentence. kind: text; plain (code, change lists, times: not judged); head (counts for nothing)."""
-    lines = text.split("\n")
-    fenced, changes, seen = False, False, False
-    kinds: dict[int, str] = {}
-    for k, line in enumerate(lines):
-        if line.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-            kinds[k] = "plain"
-            continue
-        if line.strip() and not _BULLET.match(line):
-            changes = bool(_VERSION.match(line))
-        first, seen = not seen, seen or bool(line.strip())
-        if not fenced and (_HEAD.match(line) or (first and line.strip() and _title(line))):
-            kinds[k] = "head"
-        elif fenced or changes or _CLOCK.match(line) or (_PLAIN.match(line) and not _LINK.search(line)):
-            kinds[k] = "plain"
-    raw = []
-    for k, s in sentences(text):
-        if k in kinds:
-            raw.append((k, s, []))
-            continue
-        said = _EXPLAINED.match(s)
-        toks = tokens(s[said.end() :] if said else s)
-        if said and len(toks) < 4:
-            toks = tokens(s)
-        if toks:
-            raw.append((k, s, toks))
-    different = {re.sub(r"`[^`]*`|[\W\d_]+", " ", s.lower()): t for k, s, t in raw if k not in kinds}
-    keys = keywords(list(different.values()))
-    # a Chinese character says about as much as two letters
-    return [(len(s) + sum(g == "han" for g, _ in t), classes(t, keys), kinds.get(k, "text")) for k, s, t in raw]
-
-
-def is_prose(cls: str) -> bool:
-    """Whether a sentence has the grammar of prose: function words enough, a full stop or many words, no links or tags, keywords not repeated."""
-    f = sum(c in "APJNVDh" for c in cls)
-    return len(cls) >= 5 and f >= 0.2 * len(cls) and "L" not in cls and "T" not in cls and cls.count("K") <= 1
-
-
-# ---- model -----------------------------------------------------------------------------
-
-#: A sentence is abnormal when its perplexity is this many times that of prose, or this part of it.
-FACTOR = 3.2
-#: A sentence with the grammar of prose is still abnormal beyond this many times.
-FAR_FACTOR = 14.0
-#: A page is flagged when more than this share of its judged text is abnormal.
+from ..operators.skew import FLOOR, skew_join
+from ..operators.skew import SHARE as SHARE_OF_ROWS
+from ..session import cut
+
+#: Word classes, a letter each: ^ start, A very common word, f common word, C other word, M other word with a capital,
+#: U word that other texts don't have, K keyword of the text, L link, T tag, 0 number; the rest are kinds of marks.
+CLASSES = "^AfCMUKLT0,.:()-|>`={\"/*\n#"
+_CODE = {c: i for i, c in enumerate(CLASSES)}
+_SIZE = len(CLASSES)
+_MARKS = {",": ",;、，；", ".": ".!?。！？", ":": ":：", "(": "([（【", ")": ")]）】", "-": "-–—•·", "|": "|", ">": "<>→»", "`": "`", "=": "=+&%$@~^\\", "{": "{}", '"': "\"'“”‘’«»「」", "/": "/_", "*": "*", "#": "#"}
+_MARK = {ch: _CODE[c] for c, chars in _MARKS.items() for ch in chars}
+
+# Scripts that are written without blanks are read character by character, all others by words.
+_DENSE = r"ぁ-ヿ㐀-鿿豈-﫿"
+
+
+def _pattern(letter: str, links: bool) -> re.Pattern:
+    first = r"<[a-zA-Z/][^<>\n]*>|(?:https?://|www\.)[^\s<>()\[\]\"'`]+|" if links else ""
+    dense = "" if letter == "[A-Za-z]" else f"[{_DENSE}]|"
+    return re.compile(rf"{first}{letter}+(?:['’-]{letter}+)*|{dense}\d+|\n+|#[^\W\d_]\w*|[^\w\s]|_")
+
+
+#: By whether a text is ASCII, and whether it may hold a link or a tag: one way of reading, without what can't occur.
+_TOKEN = {(a, k): _pattern("[A-Za-z]" if a else rf"[^\W\d_{_DENSE}]", k) for a in (True, False) for k in (True, False)}
+_ANY_DENSE = re.compile(f"[{_DENSE}]")
+_DIGITS = dict.fromkeys(map(ord, "0123456789"))
+_LINK = ("http://", "https://", "www.")
+
+#: A word is common in a language if this share of its texts has it, and very common with the second share.
+COMMON, VERY_COMMON = 0.08, 0.4
+#: Common words are learned of languages with so many texts; a common word is in three of them at least.
+LEAST_TEXTS, LEAST_DF = 8, 3
+#: A word is known if this share of all texts has it, and two at least. So few words can be known: as many as different words in a text, divided by it.
+KNOWN = 0.0004
+#: A keyword comes so often in different sentences, and holds this share of their words; of a common word also this many times its usual share.
+KEY_COUNT, KEY_SHARE, KEY_TIMES = 4, 0.06, 4.0
+#: The prose model learns from this share of the texts, those with the densest common words.
+PROSE = 0.5
+#: The other model learns from lines with this share of marks of structure and common words, and at most this share of keywords, links and tags.
+STRUCTURE, STUFFED = 0.25, 0.2
+#: A text counts for as many tokens at most where models are trained.
+WEIGHT = 300
+#: A page is abnormal when its perplexity is so many times that of prose; also when only so much of it is new that its log perplexity is this part of that of prose.
+FACTOR, LOW = 5.0, 1 / 6
+#: Tokens of a stretch, at least.
+STRETCH = 16
+#: Short stretches say little: so many tokens of average prose are added to a page, and to a stretch, before it is judged.
+PAGE_PRIOR, STRETCH_PRIOR = 12, 6
+#: A page is flagged when more than this share of it is in abnormal stretches: lines, joined to a length that can be judged, with half that excess.
 SHARE = 0.5
 
-
-class Model:
-    """Interpolated trigrams over word classes, from counts of trigrams (starting with two ^)."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.tri = counts
-        self.bi: Counter[str] = Counter()
-        self.uni: Counter[str] = Counter()
-        self.before2: Counter[str] = Counter()
-        self.before1: Counter[str] = Counter()
-        for t, n in counts.items():
-            self.bi[t[1:]] += n
-            self.uni[t[2]] += n
-            self.before2[t[:2]] += n
-            self.before1[t[1]] += n
-        self.total = sum(counts.values())
-        self.seen: dict[str, float] = {}
-        # mean surprise of a class in prose; without any prose all classes are alike
-        self.mean = sum(n * self.surprise(t) for t, n in counts.items()) / self.total if self.total else math.log(len(CLASSES))
-
-    def surprise(self, t: str) -> float:
-        got = self.seen.get(t)
-        if got is None:
-            p3 = self.tri.get(t, 0) / (self.before2[t[:2]] or 1)
-            p2 = self.bi[t[1:]] / (self.before1[t[1]] or 1)
-            p1 = self.uni[t[2]] / (self.total or 1)
-            got = self.seen[t] = -math.log(0.6 * p3 + 0.3 * p2 + 0.099 * p1 + 0.001 / len(CLASSES))
+_START, _UNKNOWN, _KEYWORD, _BREAK = _CODE["^"], _CODE["U"], _CODE["K"], _CODE["\n"]
+_IS_STRUCTURE = np.isin(np.arange(_SIZE), [_CODE[c] for c in '`={"|:#Af'])
+_IS_STUFF = np.isin(np.arange(_SIZE), [_CODE[c] for c in "KLT"])
+_IS_MARK = np.isin(np.arange(_SIZE), [_CODE[c] for c in '0:()-|>`={"/*\n#'])
+
+
+def _dense(ch: str) -> bool:
+    return "ぁ" <= ch <= "ヿ" or "㐀" <= ch <= "鿿" or "豈" <= ch <= "﫿"
+
+
+def tokens(text: str) -> list[str]:
+    """Words, numbers, links, tags, line ends and marks of a text, in order."""
+    return _TOKEN[text.isascii(), "://" in text or "<" in text or "www." in text].findall(text)
+
+
+# ---- common words ------------------------------------------------------------------------
+
+
+@dataclass
+class Vocabulary:
+    """What was learned of words: by language, its common words with (share of texts, share of words); and all known words."""
+
+    common: dict[str, dict[str, tuple[float, float]]]
+    known: frozenset[str]
+
+    def __post_init__(self) -> None:
+        self.languages: dict[str, list[str]] = {}
+        for lang, words in sorted(self.common.items()):
+            for w in words:
+                self.languages.setdefault(w, []).append(lang)
+        self.seen: dict[str, tuple[str, int, bool]] = {}
+
+    def look(self, token: str) -> tuple[str, int, bool]:
+        """(token in lower case, its class unless it is common or a keyword, whether it is a word); remembered, for a bounded number of tokens."""
+        w = token.lower()
+        c = w[0]
+        if c.isalpha():
+            if w.startswith(_LINK):
+                got = w, _CODE["L"], False
+            else:
+                # a character of a script without blanks is no word: it counts as unknown unless it is common
+                known = w in self.known and not _dense(c)
+                got = w, (_CODE["M"] if token[0].isupper() else _CODE["C"]) if known else _UNKNOWN, True
+        elif c.isdigit():
+            got = w, _CODE["0"], False
+        elif c == "\n":
+            got = w, _BREAK, False
+        elif len(w) == 1:
+            # vowel signs and accents belong to words
+            got = w, _MARK.get(c) or (_UNKNOWN if unicodedata.category(c)[0] == "M" else _CODE["="]), False
+        elif c == "#":
+            got = w, _CODE["T"], False
+        else:
+            got = w, _CODE["L"] if "href" in w else _CODE[">"], False
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        self.seen[token] = got
         return got
 
-    def mean_surprise(self, cls: str) -> float:
-        s = "^^" + cls
-        return sum(self.surprise(s[i - 2 : i + 1]) for i in range(2, len(s))) / len(cls)
-
-    def judge(self, parts: list[tuple[int, str, str]]) -> tuple[float, float]:
-        """(share of the judged text that is abnormal, perplexity); (0, 1) of a text without any."""
-        total = bad = size = 0
-        surprise = 0.0
-        for weight, cls, kind in parts:
-            if kind == "head":
-                continue
-            total += weight
-            if kind == "plain":
-                continue
-            s = self.mean_surprise(cls)
-            surprise += s * len(cls)
-            size += len(cls)
-            off = s - self.mean
-            if off > math.log(FAR_FACTOR) or (abs(off) > math.log(FACTOR) and not is_prose(cls)):
-                bad += weight
-        return bad / max(1, total), math.exp(surprise / size) if size else 1.0
+    def language(self, count: dict[str, int]) -> dict[str, tuple[float, float]]:
+        """The common words of the language of which a text has the most."""
+        votes: dict[str, int] = {}
+        of = self.languages.get
+        for w, k in count.items():
+            for lang in of(w, ()):
+                votes[lang] = votes.get(lang, 0) + k
+        return self.common[max(votes, key=lambda x: (votes[x], x))] if votes else {}
 
 
-def _pack(parts: list[tuple[int, str, str]]) -> str:
-    return "\n".join(f"{w}\t{k[0]}\t{c}" for w, c, k in parts)
+def word_counts(texts: DataFrame) -> DataFrame:
+    """lang, word, df, tf over texts (lang, text); the empty word stands for all: number of texts and of words.
 
+    Words are summed up in each task before they are shuffled, in parts of bounded size.
+    """
 
-def _unpack(packed: str) -> list[tuple[int, str, str]]:
-    names = {"t": "text", "p": "plain", "h": "head"}
-    return [(int(w), c, names[k]) for w, k, c in (line.split("\t") for line in packed.split("\n"))] if packed else []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df: dict[str, Counter[str]] = {}
+        tf: dict[str, Counter[str]] = {}
 
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame([(a, w, n, tf[a][w]) for a in df for w, n in df[a].items()], columns=["lang", "word", "df", "tf"])
+            df.clear()
+            tf.clear()
+            return out.astype({"df": "int64", "tf": "int64"})
 
-def class_sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, parts: the sentences of each text as word classes; null and empty texts have none."""
+        for pdf in batches:
+            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+                count = Counter(tokens(text.lower()))
+                words = [w for w in count if w[0].isalpha() and not w.startswith(_LINK)]
+                d, f = df.setdefault(lang, Counter()), tf.setdefault(lang, Counter())
+                d.update(words)
+                d[""] += 1
+                for w in words:
+                    f[w] += count[w]
+                f[""] += sum(map(count.__getitem__, words))
+            if sum(map(len, df.values())) > 500_000:
+                yield told()
+        yield told()
+
+    got = texts.select("lang", "text").mapInPandas(run, "lang string, word string, df long, tf long")
+    return got.groupBy("lang", "word").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
+def vocabulary(texts: DataFrame) -> Vocabulary:
+    """Common words of each language and known words of all, from all texts (lang, text).
+
+    What comes to the driver is bounded by the thresholds, not by the collection: words
+    that a share s of the texts has are at most 1 / s times the different words in an
+    average text. Languages are primary tags of two or three letters.
+    """
+    counts = cut(word_counts(texts))
+    sizes = counts.where(F.col("word") == "").select("lang", F.col("df").alias("n"), F.col("tf").alias("size"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    words = counts.where(F.col("word") != "")
+    in_language = words.join(F.broadcast(sizes.where((F.col("lang") != "") & (F.col("n") >= LEAST_TEXTS))), "lang")
+    common: dict[str, dict[str, tuple[float, float]]] = {}
+    for r in in_language.where(F.col("df") >= F.greatest(F.lit(LEAST_DF), COMMON * F.col("n"))).collect():
+        common.setdefault(r.lang, {})[r.word] = (r.df / r.n, r.tf / max(1, r.size))
+    known = words.groupBy("word").agg(F.sum("df").alias("df")).where(F.col("df") >= max(2, KNOWN * total)).select("word")
+    return Vocabulary(common, frozenset(r.word for r in known.collect()))
+
+
+# ---- classes -------------------------------------------------------------------------------
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences and lines of a text in lower case, without digits and the marks at their end."""
+    low = text.lower().translate(_DIGITS).replace("\n", ". ").replace("! ", ". ").replace("? ", ". ")
+    if not low.isascii():
+        for mark in "。！？":
+            low = low.replace(mark, ". ")
+    return [x for x in [x.strip(" .!?") for x in low.split(". ")] if x]
+
+
+def classes(text: str, vocab: Vocabulary) -> tuple[bytes, float, float]:
+    """(class of each token, share of the text that is new: not in a sentence that came before, numbers aside; share of common words)."""
+    every = tokens(text)
+    if not every:
+        return b"", 1.0, 0.0
+    seen, look = vocab.seen.get, vocab.look
+    of: dict[str, int] = {}
+    words: list[tuple[str, str, int]] = []
+    count: dict[str, int] = {}
+    for t, n in Counter(every).items():
+        w, code, is_word = seen(t) or look(t)
+        of[t] = code
+        if is_word:
+            words.append((t, w, n))
+            count[w] = count.get(w, 0) + n
+    said = sentences(text)
+    different = dict.fromkeys(said)
+    says, new = count, 1.0
+    if len(different) < len(said):
+        # what is said again is taken off
+        again = Counter(said)
+        again.subtract(different.keys())
+        says = count.copy()
+        for x, n in Counter(t for s, k in again.items() if k for t in tokens(s) * k).items():
+            w, _, is_word = seen(x) or look(x)
+            if is_word and w in says:
+                says[w] = max(1, says[w] - n)
+        new = sum(map(len, different)) / sum(map(len, said))
+    own = vocab.language(count)
+    total = sum(says.values()) or 1
+    least = max(KEY_COUNT, KEY_SHARE * total)
+    common, very = _CODE["f"], _CODE["A"]
+    plain = 0
+    for t, w, n in words:
+        got, k = own.get(w), says.get(w, 0)
+        much = k >= least and not _dense(w[0])
+        if got is not None and not (much and k >= KEY_TIMES * got[1] * total):
+            of[t] = very if got[0] >= VERY_COMMON else common
+            plain += n
+        elif much:
+            of[t] = _KEYWORD
+    out = bytearray(map(of.__getitem__, every))
+    if not text.isascii() and _ANY_DENSE.search(text):
+        line = tokens(".\n".join(different)) if new < 1 else every
+        pairs = Counter(a + b for a, b in zip(line, line[1:], strict=False) if _dense(a) and _dense(b))
+        enough = max(KEY_COUNT - 1, 0.04 * sum(pairs.values()))
+        much = {p for p, n in pairs.items() if n >= enough}
+        for i, (a, b) in enumerate(zip(every, every[1:], strict=False)) if much else ():
+            if a + b in much:
+                out[i] = out[i + 1] = _KEYWORD
+        plain = out.count(common) + out.count(very)
+    return bytes(out), new, plain / len(every)
+
+
+def class_sequences(texts: DataFrame, vocab: Vocabulary, *keys: str) -> DataFrame:
+    """keys, classes (a byte a token), new, dense (share of common words among all tokens) of each text."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    kinds = dict(texts.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "parts": [_pack(parts_of(t)) if t else "" for t in pdf["text"]]})
+            got = [classes(t, known) for t in pdf["text"]]
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, **{n: [g[i] for g in got] for i, n in enumerate(("classes", "new", "dense"))}})
 
-    kind = dict(docs.dtypes)[key]
-    slim = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
-    return slim.mapInPandas(run, f"key {kind}, parts string")
+    return texts.select(*keys, "text").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", classes binary, new double, dense double")
 
 
-def prose_model(sequences: DataFrame) -> Model:
-    """The model of all sentences with the grammar of prose.
+@dataclass
+class Batch:
+    """Sequences of many texts, none of them empty, in one row: class and trigram of each token, and where texts and lines start."""
 
-    Counts are summed up in each task, then over all; at most len(CLASSES) cubed of them
-    come to the driver, whatever the number of texts.
-    """
+    seq: np.ndarray
+    tri: np.ndarray
+    texts: np.ndarray
+    lines: np.ndarray
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter[str] = Counter()
-        for pdf in batches:
-            for packed in pdf["parts"]:
-                for _, cls, kind in _unpack(packed):
-                    if kind == "text" and is_prose(cls):
-                        s = "^^" + cls
-                        count.update(s[i - 2 : i + 1] for i in range(2, len(s)))
-        yield pd.DataFrame({"t": list(count), "n": list(count.values())}).astype({"n": "int64"})
+    @classmethod
+    def of(cls, sequences: list[bytes]) -> Batch:
+        size = np.array([len(x) for x in sequences], np.int64)
+        texts = np.cumsum(size) - size
+        pad = np.frombuffer(b"".join(bytes(2) + x for x in sequences), np.uint8)
+        # unknown words stand beside others as words
+        p = np.where(pad == _UNKNOWN, _CODE["C"], pad).astype(np.int64)
+        at = np.arange(len(pad) - 2 * len(size)) + 2 * np.repeat(np.arange(1, len(size) + 1), size)
+        seq = pad[at]
+        starts = np.zeros(len(seq) + 1, bool)
+        starts[texts] = True
+        starts[np.flatnonzero(seq == _BREAK) + 1] = True
+        return cls(seq, (p[at - 2] * _SIZE + p[at - 1]) * _SIZE + p[at], texts, np.flatnonzero(starts[:-1]))
+
+
+# ---- models --------------------------------------------------------------------------------
 
-    counts = sequences.select("parts").mapInPandas(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return Model({r.t: r.n for r in counts.collect()})
 
+def surprises(counts: np.ndarray) -> np.ndarray:
+    """Surprise of each trigram, from counts: interpolated with those of pairs and single classes."""
+    c = counts.reshape(_SIZE, _SIZE, _SIZE)
+    pair = c.sum(0)
+    one = pair.sum(0)
+    p1 = (one + 0.5) / (one.sum() + 0.5 * _SIZE)
+    p2 = (pair + 5 * p1) / (pair.sum(1, keepdims=True) + 5)
+    p3 = (c + 5 * p2[None]) / (c.sum(2, keepdims=True) + 5)
+    return -np.log(p3).reshape(-1)
 
-def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, share, perplexity of every text: the share of its judged text that is abnormal, and its perplexity under the prose model of all texts.
 
-    Texts without running text (null, empty, only code) have share 0 and perplexity 1.
+class Model:
+    """The two models; mean: what a token of prose surprises by."""
+
+    def __init__(self, prose: np.ndarray, structured: np.ndarray):
+        self.prose = surprises(prose)
+        every = np.arange(_SIZE**3)
+        marked = _IS_MARK[every // (_SIZE * _SIZE)] | _IS_MARK[every // _SIZE % _SIZE] | _IS_MARK[every % _SIZE]
+        self.structured = np.where(marked, surprises(structured), self.prose)
+        total = prose.sum()
+        self.mean = float((prose * self.prose).sum() / total) if total else float(np.log(_SIZE))
+
+    def judge(self, sequences: list[bytes], new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share of the text in abnormal stretches, log perplexity, log perplexity when what was said before is known) of each."""
+        share, page, again = np.zeros(len(sequences)), np.full(len(sequences), self.mean), np.full(len(sequences), self.mean)
+        full = np.flatnonzero([len(x) > 0 for x in sequences])
+        if not len(full):
+            return share, page, again
+        b = Batch.of([sequences[i] for i in full])
+        # an unknown word may be of any kind, in any language: it is no evidence
+        heard = (b.seq != _UNKNOWN).astype(np.int64)
+        n = np.add.reduceat(heard, b.lines)
+        # changing to the other model costs a bit
+        s = np.minimum(np.add.reduceat(self.prose[b.tri] * heard, b.lines), np.add.reduceat(self.structured[b.tri] * heard, b.lines) + 1)
+        first = np.searchsorted(b.lines, b.texts)
+        text_of = np.searchsorted(b.texts, b.lines, "right") - 1
+        # lines are joined to stretches of some length, so that short ones are not judged by a word or two
+        part = -(-(b.lines - b.texts[text_of]) // STRETCH)
+        begins = np.flatnonzero(np.append(True, (text_of[1:] != text_of[:-1]) | (part[1:] != part[:-1])))
+        said, words = np.add.reduceat(s, begins), np.add.reduceat(n, begins)
+        odd = (said + STRETCH_PRIOR * self.mean) / (words + STRETCH_PRIOR) > self.mean + float(np.log(FACTOR)) / 2
+        size, total = np.add.reduceat(n, first), np.add.reduceat(s, first)
+        share[full] = np.bincount(text_of[begins], words * odd, len(full)) / np.maximum(1, size)
+        page[full] = (total + PAGE_PRIOR * self.mean) / (size + PAGE_PRIOR)
+        again[full] = np.where(size > 0, (total * new[full] + PAGE_PRIOR * self.mean) / (size + PAGE_PRIOR), page[full])
+        return share, page, again
+
+    def flags(self, share: Column, log_perplexity: Column, repeated: Column) -> Column:
+        high = (log_perplexity > self.mean + float(np.log(FACTOR))) & (share > SHARE)
+        return high | (repeated < self.mean * LOW)
+
+
+def train(sequences: DataFrame) -> Model:
+    """Both models, from all sequences; at most the cube of the number of classes comes to the driver, whatever the number of texts."""
+    least = sequences.where(F.length("classes") > 0).agg(F.percentile_approx("dense", 1 - PROSE, 10_000)).first()[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prose, structured = np.zeros(_SIZE**3), np.zeros(_SIZE**3)
+        for pdf in batches:
+            pdf = pdf[pdf["classes"].map(len) > 0]
+            if pdf.empty:
+                continue
+            b = Batch.of(list(pdf["classes"]))
+            size = np.diff(np.append(b.texts, len(b.seq)))
+            w = np.repeat(np.minimum(1.0, WEIGHT / size), size)
+            prose += np.bincount(b.tri, w * np.repeat(pdf["dense"].to_numpy() >= least, size), _SIZE**3)
+            n = np.diff(np.append(b.lines, len(b.seq)))
+            fit = (np.add.reduceat(_IS_STRUCTURE[b.seq].astype(np.int64), b.lines) >= STRUCTURE * n) & (np.add.reduceat(_IS_STUFF[b.seq].astype(np.int64), b.lines) <= STUFFED * n)
+            structured += np.bincount(b.tri, w * np.repeat(fit, n), _SIZE**3)
+        seen = np.flatnonzero((prose > 0) | (structured > 0))
+        yield pd.DataFrame({"t": seen, "prose": prose[seen], "structured": structured[seen]})
+
+    prose, structured = np.zeros(_SIZE**3), np.zeros(_SIZE**3)
+    if least is not None:
+        # sums of whole parts of a thousandth: the same whatever the order they come in
+        parts = sequences.select("classes", "dense").mapInPandas(run, "t long, prose double, structured double")
+        for r in parts.groupBy("t").agg(*[F.sum(F.round(F.col(c) * 1000).cast("long")).alias(c) for c in ("prose", "structured")]).collect():
+            prose[r.t], structured[r.t] = r.prose / 1000, r.structured / 1000
+    return Model(prose, structured)
+
+
+# ---- pages ---------------------------------------------------------------------------------
+
+
+def _judged(docs: DataFrame, key: str, text: str, lang: str | None) -> tuple[DataFrame, DataFrame, list[tuple]]:
+    """(key, h1, h2 of every row; h1, h2, flag, share, perplexity, repeated of every different text; texts that hold a large part of the rows).
+
+    Copies are judged once. They are told by two hashes, which are counted before they
+    are shuffled, so one text may hold any share of the rows; each different text is then
+    moved once.
     """
-    sequences = cut(class_sequences(docs, key, text))
-    model = prose_model(sequences)
+    spark = docs.sparkSession
+    tag = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))), "^([a-z]{2,3})(?:[-_].*)?$", 1) if lang in docs.columns else F.lit("")
+    body = F.coalesce(F.col(text), F.lit(""))
+    row = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    hashes = [F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")]
+    rows = cut(docs.select(F.col(key).alias("key"), row.alias("row"), F.length(body).alias("size"), *hashes))
+    copies = cut(rows.where(F.col("size") > 0).groupBy("h1", "h2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")))
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    heavy = [tuple(r) for r in copies.where(F.col("n") > max(FLOOR, SHARE_OF_ROWS * total)).select("h1", "h2").collect()]
+    parts = 3 * spark.sparkContext.defaultParallelism
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    moved = docs.select(row.alias("row"), body.alias("text"), tag.alias("lang"), *hashes).repartition(parts, "row", "h1", "h2")
+    texts = cut(moved.join(copies.select("row", "h1", "h2").repartition(parts, "row", "h1", "h2"), ["row", "h1", "h2"], "left_semi"))
+    sequences = cut(class_sequences(texts, vocabulary(texts), "h1", "h2"))
+    model = train(sequences)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [model.judge(_unpack(p)) for p in pdf["parts"]]
-            yield pd.DataFrame({"key": pdf["key"], "share": [round(g[0], 6) for g in got], "perplexity": [round(g[1], 6) for g in got]})
+            share, page, again = model.judge(list(pdf["classes"]), pdf["new"].to_numpy())
+            yield pd.DataFrame({"h1": pdf["h1"], "h2": pdf["h2"], "share": share, "log": page, "again": again})
+
+    judged = sequences.select("h1", "h2", "classes", "new").mapInPandas(run, "h1 long, h2 long, share double, log double, again double")
+    judged = judged.select("h1", "h2", model.flags(F.col("share"), F.col("log"), F.col("again")).alias("flag"), "share", F.exp("log").alias("perplexity"), F.exp("again").alias("repeated"))
+    return rows.select("key", "h1", "h2"), judged.dropDuplicates(["h1", "h2"]), heavy  # a row that was sent twice is judged twice
 
-    kind = dict(docs.dtypes)[key]
-    scored = sequences.mapInPandas(run, f"key {kind}, share double, perplexity double")
-    return scored.select(F.col("key").alias(key), "share", "perplexity")
+
+def page_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """key, share, perplexity, repeated, flag of every row: the share of the text in abnormal stretches, its perplexity, the same when what it has said before is known, and whether it is no prose.
+
+    Null and empty texts have share 0, perplexity 1 and no flag. The language column may
+    be missing, null or wrong: it only says from which texts common words are learned.
+    """
+    rows, judged, heavy = _judged(docs, key, text, lang)
+    got = skew_join(rows, judged, ["h1", "h2"], "left", heavy)
+    return got.select(F.col("key").alias(key), *[F.round(F.coalesce(c, F.lit(v)), 6).alias(c) for c, v in (("share", 0.0), ("perplexity", 1.0), ("repeated", 1.0))], F.coalesce("flag", F.lit(False)).alias("flag"))
 
 
-def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key of each page that is mostly repeated keywords, links or tags."""
-    return page_scores(docs, key, text).where(F.col("share") > SHARE).select(key)
+def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """key of each page that is mostly repeated keywords, links or tags; copies of such a page are in it each."""
+    rows, judged, heavy = _judged(docs, key, text, lang)
+    return skew_join(rows, judged.where("flag"), ["h1", "h2"], heavy=heavy).select(F.col("key").alias(key))

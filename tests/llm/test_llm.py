@@ -270,34 +270,77 @@ def test_mix_empty(spark):
 # ---- stuffing ------------------------------------------------------------------------------------------------------
 
 PROSE = "The merge step keeps the last value of a record if the listing says so. A reader can ask for more than one page, and the answer is cut after that. We store each entry for two days before it moves to the archive. "
+_KEY, _MORE = "weather forecast radar humidity pressure alert station rainfall".split(), "free best cheap buy top online trial price discount instant".split()
+
+
+def _phrase(k: int) -> str:
+    return f"{_MORE[k * 7 % 10]} {_KEY[k * 5 % 8]} {('api', 'data', 'list')[k % 3]}"
+
+
 SPAM = {
     1: "free weather api buy weather data cheap weather api top weather free weather api best weather data trial weather api buy weather free weather",
-    2: "- [cheap data](https://a.example/1)\n- [buy data](https://b.example/2)\n- [top data](https://c.example/3)\n- [free data](https://d.example/4)",
-    3: "https://a.example/x\nhttps://b.example/y\nhttps://c.example/z",
+    2: "\n".join(f"- [{_phrase(k)}](https://a{k}.example/x)" for k in range(20)),
+    3: "\n".join(f"https://a{k}.example/x" for k in range(20)),
     4: "This news data is a news data made by news data fans for news data users. With news data you have news data and more news data. No news data is like this news data, so buy news data.",
     5: "天气查询 天气免费 天气接口 天气推荐 天气价格 天气查询 天气大全 天气免费 天气接口 天气推荐",
-    6: "#CheapWeather #weatherApi #buyWeather #weatherdata #FreeWeather #weather",
-}
+    6: " ".join(f"#{_phrase(k).title().replace(' ', '')}" for k in range(20)),
+    # forms that only look like code, settings, change lists or status notes
+    21: "\n".join(f"- `{_phrase(k)}`" for k in range(40)), 22: "\n".join(f"{_KEY[k % 8]}: {_phrase(k)}" for k in range(40)), 23: "\n".join(f"{_phrase(k)} => {_phrase(k + 3)}" for k in range(40)),
+    24: "\n".join(f"1{k % 10}:2{k % 10} {_phrase(k)} {_phrase(k + 1)}" for k in range(40)), 25: "## 1.2.0\n" + "\n".join(f"- {_phrase(k)} {_phrase(k + 2)}" for k in range(40)), 26: "```\n" + "\n".join(f"{_phrase(k)} {_phrase(k + 2)}" for k in range(40)) + "\n```",
+    27: "\n".join("Tags: " + ", ".join(_phrase(k + j) for j in range(6)) for k in range(10)), 28: "\n".join(f"{_KEY[k % 8]}: https://{_KEY[k % 8]}{k}.example/" for k in range(30)),
+    # nothing new: abnormally low
+    29: "The forecast of this station is a good one for you. " * 100, 30: PROSE * 400,
+}
 FINE = {
     11: PROSE, 12: PROSE + "\n\nTags: weather, wind, rain", 13: "def load(key):\n    rows = fetch(url, key)\n    return [r for r in rows]", 14: "GET /v1/rows?limit={n}\nPOST /v2/rows", 15: None, 16: "",
     17: "# Links\n- [A](https://a.example): The parser keeps the last heading it saw.\n- [B](https://b.example): A new key is sent by the team that asked for it.", 18: "如果数据缺失，我们会写成未知，而不是空字符串。搜索时先比较名称，再比较标签和分类，最后才看描述。",
-    19: "# Changes\n\n## 2.1.0\n- Documented the 403 answer\n- Removed the old field", 20: PROSE * 400,
+    19: "# Changes\n\n## 2.1.0\n- Documented the 403 answer\n- Removed the old field",
+    # prose of other languages, most of which the collection doesn't know
+    31: "The committee met on Tuesday to discuss the new library. Several members asked whether the old building could be kept, since many people still use it. After a long talk they agreed to look at the costs again next month.",
+    32: "図書館は駅から歩いて五分のところにあります。朝の九時に開いて、夜の八時に閉まります。本を借りるときは、カードを見せてください。雨の日は、子どもたちが絵本を読みに来ることが多いです。来月から新しい席が増えるので、もっとゆっくり過ごせるようになるでしょう。",
+    33: "图书馆离车站很近，走路只要五分钟。每天早上九点开门，晚上八点关门。借书的时候请带上证件。下雨天有很多孩子来这里看书。下个月会增加新的座位，大家可以更舒服地阅读。",
+    34: "Le comité s'est réuni mardi pour parler de la nouvelle bibliothèque. Plusieurs membres ont demandé si l'ancien bâtiment pouvait être gardé, car beaucoup de gens s'en servent encore.",
+    35: "Комитет собрался во вторник, чтобы обсудить новую библиотеку. Некоторые участники спросили, можно ли сохранить старое здание, потому что им всё ещё пользуются многие люди.",
+    36: "위원회는 화요일에 모여 새 도서관에 대해 이야기했습니다. 많은 사람들이 아직 옛 건물을 쓰고 있어서 그대로 둘 수 있는지 물었습니다. 긴 이야기 끝에 다음 달에 비용을 다시 살펴보기로 했습니다.",
+    37: "ห้องสมุดอยู่ใกล้สถานีรถไฟ เดินเพียงห้านาทีก็ถึง เปิดเก้าโมงเช้าและปิดสองทุ่ม เวลายืมหนังสือโปรดแสดงบัตร",
+    38: "اجتمعت اللجنة يوم الثلاثاء لمناقشة المكتبة الجديدة. سأل بعض الأعضاء هل يمكن الاحتفاظ بالمبنى القديم لأن كثيرا من الناس ما زالوا يستخدمونه.",
 }
 
 
-def test_stuffed_pages(spark):
-    rows = [(k, t) for k, t in (SPAM | FINE).items()] + [(100 + k, PROSE + f"The {w} table of the service lists all rows that have a name.") for k, w in enumerate(["wind", "rain", "map", "stock"] * 10)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x"))
-    assert {r.doc_id for r in stuffing.stuffed_pages(df).collect()} == set(SPAM)
-    assert stuffing.page_scores(df).count() == len(rows)
-    assert stuffing.stuffed_pages(df.limit(0)).count() == 0
+@pytest.fixture(scope="module")
+def crawl(spark, tiny):
+    """The test pages, planted each twice among a thousand others, beside a column with a clashing name."""
+    base = spark.read.parquet(tiny.replace("sf0.001", "sf0.01") + "/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang")
+    rows = [(k, t, None) for k, t in (SPAM | FINE).items()] + [(k + 500, t, "xx") for k, t in (SPAM | FINE).items()]
+    return base.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")).withColumn("share", F.lit("x"))
+
+
+def test_stuffed_pages(spark, crawl):
+    got = [r.doc_id for r in stuffing.stuffed_pages(crawl).where("doc_id < 1000").collect()]
+    assert sorted(got) == sorted([*SPAM, *[k + 500 for k in SPAM]])
+
+
+def test_page_scores(spark, crawl):
+    got = stuffing.page_scores(crawl.drop("lang")).where("doc_id < 1000")
+    by = {r.doc_id: r for r in got.collect()}
+    assert len(by) == 2 * len(SPAM | FINE)
+    assert by[15].flag is False and by[15].share == 0 and by[15].perplexity == 1 and by[16] == by[516].__class__(**(by[516].asDict() | {"doc_id": 16}))
+    assert by[29].repeated < 1.3 < by[29].perplexity
+    assert stuffing.stuffed_pages(crawl.limit(0)).count() == 0 and stuffing.page_scores(crawl.limit(0)).count() == 0
+
+
+def test_common_words_are_learned(spark, crawl):
+    found = stuffing.vocabulary(crawl.where("text is not null").select("lang", "text").replace("EN", "en", "lang"))
+    own = found.languages
+    assert all("en" in own[w] for w in ("the", "of", "is", "to", "for")) and all("de" in own[w] for w in ("und", "der", "die")) and "zh" in own["的"]
+    assert not any("en" in own.get(w, ()) for w in ("discount", "humidity", "coupon"))
 
 
-def test_heads_in_linear_time():
-    """Long rules and tag lists followed by anything else are told at once; a process of its own, so a slow pattern can be ended."""
+def test_tokens_in_linear_time():
+    """Long runs of one character are cut at once; a process of its own, so a slow pattern can be ended."""
     import subprocess
     import sys
 
-    code = "from tessera.llm.stuffing import _HEAD as h; print([bool(h.match(s)) for s in ('-' * 5000 + ' x', '--- ' * 500 + 'x', '---:' * 500 + 'x', 'Tags: ' + 'word, ' * 60, 'Tags: ' + 'w' * 500 + ',,', '|:---|---:| --- |', '-' * 80, 'Tags: a, b')])"
-    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=30, check=True)
-    assert done.stdout.strip() == str([False] * 5 + [True] * 3)
+    code = "from tessera.llm.stuffing import classes, Vocabulary as V; print([len(classes(s, V({}, frozenset()))[0]) > 0 for s in ('-' * 5000 + ' x', '<a ' * 3000, \"a'\" * 5000, '[' * 9000, 'word, ' * 9000, 'http://' * 3000, 'x' * 90000)])"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=30, check=True, env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(stuffing.__file__)) + "/.."})
+    assert done.stdout.strip() == str([True] * 7)
