@@ -331,7 +331,7 @@ def index_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records made of the sound rows of index tables."""
     entries = rejects.index_clean(read(spark, sf, "readme_lines"))
     r = catalog.entries_to_records(entries, "index", "https://lists.example/index.md", "fixture-1", "2026-01-01T00:00:00Z", "a" * 64)
-    return r.select("row_id", "id", "name", "description", "provider", "docs_url", F.to_json("auth").alias("auth"), "https", "cors", "status")
+    return r.select("row_id", "id", "name", "description", F.array_join("categories", "|").alias("categories"), "provider", "docs_url", F.to_json("auth").alias("auth"), "https", "cors", "status")
 
 
 QUERIES: dict[str, Query] = {

@@ -11,7 +11,7 @@ DOC = r"""# List
 ### Animals
 API | Description | Auth | HTTPS | CORS |
 :---: | :--- | ---: | --- | --- |
-| [Cat \| Facts](https://cat.example/api) | Cats \| facts `a|b` | No | Yes | Unknown |
+| [Pelican \| Log](https://pelican.example/v1) | Sightings \| by lake `a|b` | No | Yes | Unknown |
 | [Broken](https://x.example | text | No | Yes | No |
 | [Open](https://x.example/) | a `tick here | No | Yes | No |
 | [Short](https://x.example/) | text | No |
@@ -52,8 +52,9 @@ def test_reasons_and_clean_rows(spark):
     got = {r.line_id: r.reason for r in rejects.index_rejects(df).collect()}
     assert got == WANT
     clean = {r.name: r for r in rejects.index_clean(df).collect()}
-    assert set(clean) == {r"Cat | Facts", "Ok", "W"}
-    assert clean["Cat | Facts"].description == "Cats | facts a|b"
+    assert set(clean) == {"Pelican | Log", "Ok", "W"}
+    assert clean["Pelican | Log"].description == "Sightings | by lake a|b"
+    assert {n: r.category for n, r in clean.items()} == {"Pelican | Log": "Animals", "Ok": "Animals", "W": "Weather"}
     assert (clean["Ok"].auth, clean["Ok"].https, clean["Ok"].cors) == ("apiKey", "yes", "no")
     assert clean["W"].url == "https://w.example/docs"
 
