@@ -35,13 +35,13 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def _content() -> dict:
     names = ("name", "description", "provider", "docs_url", "auth_type", "https", "cors", "status")
-    return {n: F.col(n) for n in names} | {"tags": F.array_join(F.sort_array("tags"), "\x00", "\x01")}
+    return {n: F.col(n) for n in names} | {"tags": F.to_json(F.sort_array("tags"))}
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    snaps, reports = read(spark, sf, "catalog_snapshots"), read(spark, sf, "update_reports")
-    changes = snapshots.snapshot_changes(snaps, "feed_id", "snapshot_no", "id", "delivered_at", _content())
-    wrong = snapshots.miscounted(snaps, reports, "feed_id", "snapshot_no", "id", F.col("counts.before"), F.col("counts.after"))
+    s = snapshots.current(read(spark, sf, "catalog_snapshots"), "feed_id", "snapshot_no", "id", "delivered_at", _content())
+    changes = snapshots.changes_of(s)
+    wrong = snapshots.miscounted(s, read(spark, sf, "update_reports"), "feed_id", "snapshot_no", F.col("counts.before"), F.col("counts.after"))
     both = changes.unionByName(wrong.select("feed", "no", F.lit("").alias("id"), F.lit("miscounted").alias("change")))
     return both.select(F.col("feed").alias("feed_id"), F.col("no").alias("snapshot_no"), "id", "change")
 
@@ -300,15 +300,14 @@ TAGS_SQL = """SELECT provider, string_agg(v, '|' ORDER BY k, v) AS tags FROM (
 
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Between the first and the last snapshot of each feed, in all content columns; the order of tags is no content."""
-    s = read(spark, sf, "catalog_snapshots")
-    ends = s.groupBy("feed_id").agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
     content = _content()
-    side = lambda c: s.join(ends, "feed_id").where(F.col("snapshot_no") == F.col(c)).groupBy("feed_id", "id").agg(F.max_by(F.struct(*[c.alias(n) for n, c in content.items()]), "delivered_at").alias("r")).select("feed_id", "id", "r.*")
-    return catalog.snapshot_diff(side("lo"), side("hi"), ["feed_id", "id"], list(content))
+    s = snapshots.current(read(spark, sf, "catalog_snapshots"), "feed_id", "snapshot_no", "id", "delivered_at", content)
+    rows = s.rows.withColumnsRenamed({"feed": "feed_id"} | dict(zip(s.values, content, strict=True)))
+    return catalog.snapshot_diff(rows.where("prev IS NULL"), rows.where("next IS NULL"), ["feed_id", "id"], list(content))
 
 
 DIFF_SQL = """WITH e AS (SELECT feed_id, min(snapshot_no) AS lo, max(snapshot_no) AS hi FROM catalog_snapshots GROUP BY feed_id),
-r AS (SELECT feed_id, snapshot_no, id, arg_max(struct_pack(a := name, b := description, c := provider, d := docs_url, e := auth_type, f := https, g := cors, h := status), delivered_at) AS v FROM catalog_snapshots GROUP BY ALL),
+r AS (SELECT feed_id, snapshot_no, id, arg_max(struct_pack(a := name, b := description, c := provider, d := docs_url, e := auth_type, f := https, g := cors, h := status, i := list_sort(tags)), delivered_at) AS v FROM catalog_snapshots WHERE id IS NOT NULL GROUP BY ALL),
 o AS (SELECT r.feed_id, id, v FROM r JOIN e ON r.feed_id = e.feed_id AND snapshot_no = lo), n AS (SELECT r.feed_id, id, v FROM r JOIN e ON r.feed_id = e.feed_id AND snapshot_no = hi)
 SELECT coalesce(o.feed_id, n.feed_id) AS feed_id, coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM o FULL JOIN n ON o.feed_id = n.feed_id AND o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.v IS DISTINCT FROM n.v"""
