@@ -74,6 +74,28 @@ def test_precedence_has_no_circles():
     assert after == {"f": {"a": {"b", "c"}, "b": {"c"}}}
 
 
+def test_declared_order_holds():
+    votes = [("f", 2, 1, 50), ("f", 0, 2, 7), ("f", 3, 0, 9), ("g", "b", "a", 3)]
+    assert survivors.precedence(votes, [("f", n, n + 1) for n in range(3)]) == {"f": {0: {1, 2, 3}, 1: {2, 3}, 2: {3}}, "g": {"b": {"a"}}}
+
+
+def test_survivors_against_the_rule(spark, monkeypatch):
+    """The row that comes out of the graph is that of the declared rule, whatever the votes; more knowledge than the graph has states is told apart."""
+    monkeypatch.setattr(survivors, "MOST_STATES", 3)
+    r = random.Random(8)
+    rows = [(k, r.choice(["a", "a", "b", "c", None]), r.choice([None, 0, 1, 2, 3, 4, 9]), r.choice([None, 1, 2, 3])) for k in range(300)] + [(900, "alone", 5, 1), (901, "none", 0, 1), (902, "none", None, 2)]
+    df = spark.createDataFrame(rows, "row_id long, id string, s int, at long")
+    got = {(x.id, x.field): x.row_id for x in survivors.survivors(df, "id", "row_id", F.col("at"), {"f": F.col("s"), "g": -F.col("s") + 9}).collect()}
+    want = {}
+    for field, score in (("f", lambda x: x[2] or 0), ("g", lambda x: 0 if x[2] is None else 9 - x[2])):
+        for g in ("a", "b", "c", "alone", "none"):
+            of = [x for x in rows if x[1] == g]
+            best = max(of, key=lambda x: (score(x), x[3] if x[3] is not None else -1, -x[0]))
+            if len(of) > 1 and score(best) > 0:
+                want[g, field] = best[0]
+    assert got == want
+
+
 # ---- terms -----------------------------------------------------------------------------------
 
 
