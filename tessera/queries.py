@@ -233,23 +233,38 @@ def _checks() -> str:
         rule(n, f"length({n}) > {most}", f"must have at most {most} characters")
     for n, allowed in (("source_tier", R.TIERS), ("https", R.TRI_STATES), ("cors", R.TRI_STATES), ("status", R.STATUSES)):
         rule(n, f"coalesce({n} NOT IN ({', '.join(map(Q.q, allowed))}), true)", f"must be one of {', '.join(allowed)}")
-    for n in ("docs_url", "homepage_url"):
-        rule(n, f"{n} IS NULL OR {n} = '' OR regexp_matches({n}, '\\s')", "must be a non-empty absolute URL without whitespace")
-        rule(n, f"NOT ({n} IS NULL OR {n} = '' OR regexp_matches({n}, '\\s')) AND ({Q.part(n, 'scheme')} NOT IN ('http', 'https') OR {Q.host(n)} = '')", "must be an absolute HTTP(S) URL")
-    for n in ("aliases", "categories", "tags", "quality_flags"):
+    for path, source, given in (
+        ("docs_url", "docs_url", "true"), ("homepage_url", "homepage_url", "true"), ("openapi.spec_url", "openapi.spec_url", "openapi IS NOT NULL"),
+        ("rights.license_url", "rights['license_url']", "rights['license_url'] IS NOT NULL"), ("rights.terms_url", "rights['terms_url']", "rights['terms_url'] IS NOT NULL"),
+    ):
+        out.append(f"SELECT row_id, '{path}' AS path, message FROM (SELECT row_id, {Q.url_problem('u')} AS message FROM (SELECT row_id, {source} AS u FROM catalog_records WHERE {given})) WHERE message IS NOT NULL")
+    out.append(f"SELECT DISTINCT row_id, 'provenance.source_url' AS path, message FROM (SELECT row_id, {Q.url_problem('u', True)} AS message FROM (SELECT row_id, unnest(list_transform(provenance, lambda p: p.source_url)) AS u FROM catalog_records)) WHERE message IS NOT NULL")
+    for n, given in (("aliases", "true"), ("categories", "true"), ("tags", "true"), ("quality_flags", "true"), ("openapi.tags", "openapi IS NOT NULL"), ("openapi.security_schemes", "openapi IS NOT NULL")):
         low = f"list_transform({n}, lambda v: lower(coalesce(v, '')))"
-        rule(n, f"{n} IS NULL", "must be a list")
-        rule(n, f"len(list_filter({n}, lambda v: v IS NULL OR trim(v) = '' OR trim(v) <> v)) > 0", "items must be non-empty trimmed strings")
-        rule(n, f"len(list_distinct({low})) < len({n})", "items must be unique")
-        rule(n, f"list_sort(list_transform({n}, lambda v: struct_pack(k := lower(coalesce(v, '')), v := coalesce(v, '')))) <> list_transform({n}, lambda v: struct_pack(k := lower(coalesce(v, '')), v := coalesce(v, '')))", "items must be in canonical order")
-        rule(n, f"len({n}) > 256", "must have at most 256 items")
+        rule(n, f"{given} AND {n} IS NULL", "must be a list")
+        rule(n, f"{given} AND len(list_filter({n}, lambda v: v IS NULL OR trim(v) = '' OR trim(v) <> v)) > 0", "items must be non-empty trimmed strings")
+        rule(n, f"{given} AND len(list_distinct({low})) < len({n})", "items must be unique")
+        rule(n, f"{given} AND list_sort(list_transform({n}, lambda v: struct_pack(k := lower(coalesce(v, '')), v := coalesce(v, '')))) <> list_transform({n}, lambda v: struct_pack(k := lower(coalesce(v, '')), v := coalesce(v, '')))", "items must be in canonical order")
+        rule(n, f"{given} AND len({n}) > 256", "must have at most 256 items")
+        rule(n, f"{given} AND len(list_filter({n}, lambda v: length(v) > 512)) > 0", "items must have at most 512 characters")
+    rule("openapi.specification", "openapi IS NOT NULL AND coalesce(openapi.specification NOT IN ('openapi', 'swagger'), true)", "must be one of openapi, swagger")
+    for n in ("specification_version", "api_version", "title"):
+        rule(f"openapi.{n}", f"openapi IS NOT NULL AND openapi.{n} IS NULL", "must be a string")
+    for n in ("path_count", "operation_count"):
+        rule(f"openapi.{n}", f"openapi IS NOT NULL AND coalesce(openapi.{n} < 0, true)", "must be a non-negative integer")
+    for n in ("name", "source"):
+        rule("auth", f"len(list_filter(auth, lambda a: a.{n} IS NULL)) > 0", f"{n} must be a string")
+    rule("auth", "len(auth) > 64", "must have at most 64 entries")
+    rule("provenance", "len(list_distinct(list_transform(provenance, lambda p: struct_pack(a := p.source_id, b := p.source_url, c := p.revision, d := p.content_hash)))) < len(provenance)", "entries must be unique")
+    rule("provenance", "len(provenance) > 64", "must have at most 64 entries")
+    rule("rights", "len(list_filter(map_values(rights), lambda v: length(v) > 4096)) > 0", "values must have at most 4096 characters")
     rule("last_checked_at", f"last_checked_at IS NOT NULL AND NOT {Q.is_time('last_checked_at')}", "must be an RFC 3339 time or null")
     rule("auth", "auth IS NULL OR len(auth) = 0", "must be a non-empty list")
     rule("auth", f"len(list_filter(auth, lambda a: coalesce(a.type NOT IN ({', '.join(map(Q.q, R.AUTH_TYPES))}), true))) > 0", "type must be a known kind")
     rule("auth", f"len(list_filter(auth, lambda a: coalesce(a.location NOT IN ({', '.join(map(Q.q, R.AUTH_LOCATIONS))}), true))) > 0", "location must be a known place")
     rule("auth", "len(list_filter(auth, lambda a: coalesce(a.confidence < 0 OR a.confidence > 1, true))) > 0", "confidence must be from 0 to 1")
     rule("auth", "len(auth) > 1 AND len(list_filter(auth, lambda a: a.type = 'none')) > 0", "none must stand alone")
-    rule("auth", "len(list_distinct(auth)) < len(auth)", "entries must be unique")
+    rule("auth", "len(list_distinct(list_transform(auth, lambda a: struct_pack(a := a.type, b := a.location, c := lower(coalesce(a.name, '')), d := lower(coalesce(a.source, '')), e := a.confidence)))) < len(auth)", "entries must be unique")
     rule("provenance", "provenance IS NULL OR len(provenance) = 0", "must be a non-empty list")
     rule("provenance", "len(list_filter(provenance, lambda p: trim(coalesce(p.source_id, '')) = '')) > 0", "source_id must not be blank")
     rule("provenance", f"len(list_filter(provenance, lambda p: p.retrieved_at IS NOT NULL AND NOT {Q.is_time('p.retrieved_at')})) > 0", "retrieved_at must be an RFC 3339 time or null")
@@ -267,8 +282,26 @@ def repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
 REPEATED_SQL = "SELECT row_id, 'id' AS path, 'must be unique' AS message FROM (SELECT row_id, row_number() OVER (PARTITION BY lower(id) ORDER BY row_id) AS k FROM catalog_records WHERE id IS NOT NULL) WHERE k > 1"
 
 
+_SAME = f"lower({Q.part('canonical', 'scheme')} || '://' || {Q.part('canonical', 'authority')} || CASE WHEN {Q.part('canonical', 'path')} = '' THEN '/' ELSE {Q.part('canonical', 'path')} END || CASE WHEN {Q.part('canonical', 'query')} <> '' THEN '?' || {Q.part('canonical', 'query')} ELSE '' END)"
+_TOKENS = f"""called AS (SELECT row_id, provider, unnest(list_concat([name], coalesce(aliases, []))) AS c FROM catalog_records WHERE trim(coalesce(provider, '')) <> ''),
+tokens AS (SELECT row_id, 'id:' || lower(id) AS token FROM catalog_records WHERE coalesce(id, '') <> ''
+UNION SELECT row_id, 'provider-name:' || {Q.label('provider')} || ':' || {Q.label('c')} FROM called WHERE trim(coalesce(c, '')) <> ''
+UNION SELECT row_id, 'docs:' || {_SAME} FROM (SELECT row_id, {_canon()} AS canonical FROM catalog_records) WHERE canonical IS NOT NULL)"""
+_GROUPS = f"""{_TOKENS},
+owned AS (SELECT row_id, min(row_id) OVER (PARTITION BY token) AS owner FROM tokens),
+linked AS (SELECT row_id AS x, owner AS y FROM owned WHERE row_id <> owner UNION SELECT owner, row_id FROM owned WHERE row_id <> owner),
+walk(x, g) AS (SELECT x, x FROM linked UNION SELECT linked.y, walk.g FROM walk JOIN linked ON linked.x = walk.x WHERE walk.g < linked.y),
+groups AS (SELECT r.row_id, coalesce(min(w.g), r.row_id) AS "group" FROM (SELECT DISTINCT row_id FROM catalog_records) r LEFT JOIN walk w ON w.x = r.row_id GROUP BY r.row_id)"""
+TOKENS_SQL = f"WITH {_TOKENS} SELECT row_id, token FROM tokens"
+GROUPS_SQL = f"WITH RECURSIVE {_GROUPS} SELECT row_id, \"group\" FROM groups"
+CATALOG_SQL = f"""WITH {_TOKENS} {_checks()} UNION ALL {REPEATED_SQL}
+UNION ALL SELECT row_id, 'docs_url', 'is the documentation of another record' FROM tokens WHERE token LIKE 'docs:%' QUALIFY row_number() OVER (PARTITION BY token ORDER BY row_id) > 1
+UNION ALL SELECT DISTINCT row_id, 'name', 'is a name of another record of the provider' FROM (SELECT row_id, row_number() OVER (PARTITION BY token ORDER BY row_id) AS k FROM tokens WHERE token LIKE 'provider-name:%') WHERE k > 1"""
+
+
 def identity_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.identity_tokens(read(spark, sf, "catalog_records"))
+    """Tokens in composed form."""
+    return resolve.identity_tokens(read(spark, sf, "catalog_records")).withColumn("token", T.nfkc(F.col("token"), "NFC"))
 
 
 def entity_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,6 +376,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
-    "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
+    "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
     "part_groups": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS group_key FROM part",
 } | {k: Q.search(ALIASES, S.check_arguments(**a)) for k, a in SEARCHES.items()}

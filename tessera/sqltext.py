@@ -86,6 +86,34 @@ def safe_url(url: str) -> str:
     )
 
 
+def url_problem(u: str, https_only: bool = False) -> str:
+    """The first rule that an address breaks, as text."""
+    place = f"regexp_replace({part(u, 'authority')}, '^.*@', '')"
+    port = f"try_cast(nullif(regexp_extract({part(u, 'authority')}, ':(\\d+)$', 1), '') AS INTEGER)"
+    names = ", ".join(map(q, U.SENSITIVE_KEYS))
+    ends = "|".join(U.SENSITIVE_ENDINGS)
+    keys = f"list_transform(list_filter(string_split({part(u, 'query')}, '&'), lambda p: p <> ''), lambda p: {query_key('replace(string_split(p, chr(61))[1], chr(43), chr(32))')})"
+    secret = f"list_sort(list_distinct(list_filter({keys}, lambda k: k IN ({names}) OR regexp_matches(k, '({ends})$'))))"
+    out = f"CASE WHEN {u} IS NULL OR {u} = '' OR regexp_matches({u}, '\\s') THEN 'must be a non-empty absolute URL without whitespace' WHEN (regexp_matches({place}, ':[^\\]]*$') AND NOT regexp_matches({place}, ':\\d{{0,5}}$')) OR coalesce({port}, 0) > 65535 THEN 'has an invalid host or port' WHEN {part(u, 'scheme')} NOT IN ('http', 'https') OR {host(u)} = '' THEN 'must be an absolute HTTP(S) URL'"
+    if https_only:
+        out += f" WHEN {part(u, 'scheme')} <> 'https' THEN 'must use HTTPS'"
+    out += f" WHEN contains({part(u, 'authority')}, '@') THEN 'must not contain URL userinfo or credentials'"
+    if https_only:
+        out += f" WHEN coalesce({port}, 443) <> 443 THEN 'must not use a non-443 port'"
+    return out + f" WHEN len({secret}) > 0 THEN 'must not contain sensitive query key(s): ' || array_to_string({secret}, ', ') END"
+
+
+def slug(x: str) -> str:
+    low = f"regexp_replace(replace(lower(strip_accents({nfkc(x)})), 'ß', 'ss'), '\\p{{M}}+', '', 'g')"
+    joined = f"regexp_replace(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    return f"coalesce(nullif({joined}, ''), 'item-' || substr(sha256({x}), 1, 10))"
+
+
+def label(x: str) -> str:
+    """A slug without the parts api and service, unless nothing else is in it."""
+    return f"list_transform([{slug(x)}], lambda s: coalesce(nullif(array_to_string(list_filter(string_split(s, '-'), lambda p: p NOT IN ('api', 'service')), '-'), ''), s))[1]"
+
+
 def tiers() -> str:
     listed = "source_tier = 'apilayer' OR coalesce(len(list_filter(provenance, lambda p: starts_with(p.source_id, 'apilayer-'))) > 0, false)"
     return f"list_filter([CASE WHEN coalesce({listed}, false) THEN 'apilayer' END, CASE WHEN source_tier = 'public' THEN 'public' END], lambda x: x IS NOT NULL)"
