@@ -25,6 +25,10 @@ AUTH_NAMES = {
     "unknown": ("unknown", "tbd"),
 }
 
+# What sources stand for which tier.
+SOURCE_PREFIXES = {"apilayer-": "apilayer"}
+SOURCES = {"public-apis-readme": "public"}
+
 RECORD = """row_id bigint, id string, name string, aliases array<string>, description string, categories array<string>, tags array<string>,
 provider string, source_tier string, docs_url string, homepage_url string,
 auth array<struct<type:string,location:string,name:string,source:string,confidence:double>>, https string, cors string, status string,
@@ -93,8 +97,8 @@ def source_tiers(tier: Column, provenance: Column, prefixes: dict[str, str] | No
 
     prefixes, exact: tier by the start, or by the whole, of a source_id.
     """
-    prefixes = {"apilayer-": "apilayer"} if prefixes is None else prefixes
-    exact = exact or {}
+    prefixes = SOURCE_PREFIXES if prefixes is None else prefixes
+    exact = SOURCES if exact is None else exact
     out = []
     for t in reversed(TIERS):
         hit = tier == t

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import searchsql as X
 from . import sqltext as Q
 from .functions import records as R
 from .functions import text as T
 from .functions import urls as U
 from .operators import catalog, quality, rejects, resolve, snapshots
 from .plans import search as S
-from .session import cut, spread
+from .session import cut, shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,8 +76,7 @@ TOKEN_SQL = f"""SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS
 
 
 def field_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    index = S.build_index(read(spark, sf, "catalog_records"))
-    stats = S.statistics(index, [])
+    stats = S.statistics(search_index(spark, sf), [])
     return stats.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.round(f"avg_{f}", 6).alias("avg_len")) for f in S.WEIGHTS])))
 
 
@@ -91,68 +91,83 @@ def name_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 PHRASE_SQL = f"SELECT row_id, array_to_string({Q.words('name')}, ' ') AS normalized, {Q.phrase('name')} AS canonical FROM catalog_records"
 
-#: Concepts used by the search queries that have SQL, in order; the others take those of query_aliases.
-ALIASES = [
-    ("weather", ["meteorology", "climate", "天气", "气象"]), ("forecast", ["weather forecast", "天气预报", "预报"]), ("stocks", ["stock", "equities", "stock market", "股票", "股价"]),
-    ("historical data", ["history", "historical", "time series", "历史", "历史数据"]), ("market data", ["market quotes", "行情", "市场行情"]), ("geolocation", ["location", "geocoding", "地理位置"]),
-]
+#: Searches of catalog_records. All expand with the latest concepts of query_aliases.
 SEARCHES = {
-    "search_english": {"query": "weather forecast data", "limit": 20},
-    "search_concepts": {"query": "historical stock data API", "limit": 20},
-    "search_chinese": {"query": "我想找天气预报 API", "limit": 20},
+    "search_english": {"query": "weather humidity pressure feed", "limit": 20},
+    "search_concepts": {"query": "sports roster calendar", "limit": 20},
+    "search_chinese": {"query": "我想找音乐歌词 API", "limit": 20},
     "search_filtered": {"query": "music lyric feed", "source_tier": "apilayer", "https": "yes", "cors": "yes", "status": "active", "auth": "none", "limit": 20},
+    "search_delivered": {"query": "music lyric feed", "limit": 20},
     "search_category": {"query": "", "categories": ["天气", "Open Data"], "cors": "unknown", "limit": 20},
     "search_name": {"query": "Weather by Momamorusa", "limit": 20},
-    "search_gated": {"query": "pdf url archive", "limit": 20},
 }
+#: A search of documents: no record of the catalogue has any of the words that a query with them must find.
+GATED = {"query": "url rows fetch sample", "limit": 20}
+EXPANDED = ("weather forecast", "stock archive", "我想找音乐歌词 API", "ledger API", "sports roster calendar", "open level β-free timezone")
+_DOCUMENTS = """(SELECT doc_id AS row_id, record_id AS id, title AS name, CAST([] AS VARCHAR[]) AS aliases, text AS description, CAST([] AS VARCHAR[]) AS categories, CAST([] AS VARCHAR[]) AS tags, provider, NULL::VARCHAR AS source_tier, url AS docs_url,
+CAST([] AS STRUCT("type" VARCHAR)[]) AS auth, NULL::VARCHAR AS https, NULL::VARCHAR AS cors, NULL::VARCHAR AS status, NULL::STRUCT(specification VARCHAR, specification_version VARCHAR, path_count BIGINT, operation_count BIGINT) AS openapi,
+CAST([] AS STRUCT(source_id VARCHAR, retrieved_at VARCHAR)[]) AS provenance, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS last_checked_at, CAST([] AS VARCHAR[]) AS quality_flags FROM documents)"""
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of catalog_records, written once in an application as a table in the checkpoint folder."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = S.write_index(read(spark, sf, "catalog_records"), f"{shared_folder(spark)}/index-{key[0]}-{len(_INDEXES)}")
+    return _INDEXES[key]
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("rank", "doc", "id", "name", "score", F.array_join("reasons", "; ").alias("reasons"), "source_tier", "freshness", "docs_url", F.col("openapi.specification").alias("specification"), F.col("openapi.path_count").alias("path_count"))
 
 
 def _search(arguments: dict) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        index = cut(S.build_index(read(spark, sf, "catalog_records")))  # read twice: statistics, scores
-        found = S.search(index, ALIASES, **arguments)
-        return found.select("rank", "doc", "id", "name", "score", F.array_join("reasons", "; ").alias("reasons"), "source_tier", "freshness", "docs_url")
+        return _shown(S.search(search_index(spark, sf), S.load_aliases(read(spark, sf, "query_aliases")), **arguments))
 
     return run
 
 
-def search_delivered(spark: SparkSession, sf: str) -> DataFrame:
-    """The search of search_filtered without its filters, with the delivered concepts."""
-    index = cut(S.build_index(read(spark, sf, "catalog_records")))
-    found = S.search(index, S.load_aliases(read(spark, sf, "query_aliases")), query="music lyric feed", limit=20)
-    return found.select("rank", "doc", "id", "name", "score", F.array_join("reasons", "; ").alias("reasons"), "source_tier", "freshness", "docs_url")
+def search_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of documents with a word that must be found."""
+    d = read(spark, sf, "documents")
+    none = F.array().cast("array<string>")
+    given = {"row_id": F.col("doc_id"), "id": F.col("record_id"), "name": F.col("title"), "description": F.col("text"), "provider": F.col("provider"), "docs_url": F.col("url"), "last_checked_at": F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")}
+    kinds = [c.split(" ", 1) for c in R.RECORD.replace("\n", " ").split(", ")]
+    records = d.select(*[given.get(n, none if t.startswith("array<string") else F.lit(None)).cast(t).alias(n) for n, t in kinds])
+    index = cut(S.build_index(records))  # read twice: statistics, scores
+    return _shown(S.search(index, S.load_aliases(read(spark, sf, "query_aliases")), **GATED))
 
 
 def search_totals(spark: SparkSession, sf: str) -> DataFrame:
-    aliases = S.load_aliases(read(spark, sf, "query_aliases"))
-    index = cut(S.build_index(read(spark, sf, "catalog_records")))
+    aliases, index = S.load_aliases(read(spark, sf, "query_aliases")), search_index(spark, sf)
     out = None
     for a in SEARCHES.values():
-        one = S.search_summary(index, aliases, **a)
+        one = S.search_summary(index, aliases, **a).drop("filters", "catalog")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def render_results(spark: SparkSession, sf: str) -> DataFrame:
-    index = cut(S.build_index(read(spark, sf, "catalog_records")))
-    return S.render_rows(S.search(index, S.load_aliases(read(spark, sf, "query_aliases")), query="weather", limit=20))
+    return S.render_rows(S.search(search_index(spark, sf), S.load_aliases(read(spark, sf, "query_aliases")), query="weather", limit=20))
 
 
 def query_terms(spark: SparkSession, sf: str) -> DataFrame:
     aliases = S.load_aliases(read(spark, sf, "query_aliases"))
-    rows = [(a, k, t, float(e.weights[t])) for a in ("weather forecast", "行情 archive", "我想找天气预报 API", "ledger API") for e in [S.expand_query(a, aliases)] for k, t in enumerate(e.terms)]
+    rows = [(a, k, t, float(e.weights[t])) for a in EXPANDED for e in [S.expand_query(a, aliases)] for k, t in enumerate(e.terms)]
     return spark.createDataFrame(rows, "query string, pos int, term string, weight double")
 
 
 def freshness(spark: SparkSession, sf: str) -> DataFrame:
-    index = S.build_index(read(spark, sf, "catalog_records"))
+    index = search_index(spark, sf)
     ref = F.broadcast(index.agg(F.max("latest.at").alias("ref")))  # one row
     age = F.greatest(F.lit(0), F.floor((F.col("ref") - F.col("latest.at")) / S.DAY))
     state = F.when(F.col("marked_stale"), "stale").when(F.col("age_days").isNull(), "unknown").when(F.col("age_days") <= 365, "fresh").otherwise("stale")
     return index.crossJoin(ref).select(F.col("doc").alias("row_id"), age.alias("age_days"), "marked_stale").select("row_id", "age_days", state.alias("state"))
 
 
-FRESH_SQL = f"WITH {Q.FRESH} SELECT doc AS row_id, age AS age_days, freshness AS state FROM fresh"
+FRESH_SQL = f"WITH {X.fresh()} SELECT doc AS row_id, age AS age_days, freshness AS state FROM fresh"
 
 
 # ---- values of records -----------------------------------------------------------------------------
@@ -369,7 +384,7 @@ def index_records(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_delivered, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, catalog_errors, repeated_ids,
+        p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_gated, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, catalog_errors, repeated_ids,
         identity_tokens, entity_groups, merged_records, part_groups, provider_tags, snapshot_diff, row_hashes, content_version, index_records,
     )
 } | {k: _search(a) for k, a in SEARCHES.items()}
@@ -378,4 +393,6 @@ ORACLE: dict[str, str] = {
     "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
     "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
     "part_groups": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS group_key FROM part",
-} | {k: Q.search(ALIASES, S.check_arguments(**a)) for k, a in SEARCHES.items()}
+    "search_gated": X.search(S.check_arguments(**GATED), _DOCUMENTS), "search_totals": " UNION ALL ".join(X.totals(S.check_arguments(**a)) for a in SEARCHES.values()),
+    "query_terms": X.expanded(EXPANDED), "render_results": X.rendered(S.check_arguments(query="weather", limit=20)),
+} | {k: X.search(S.check_arguments(**a)) for k, a in SEARCHES.items()}

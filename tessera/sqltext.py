@@ -6,7 +6,6 @@ import unicodedata
 
 from .functions import text as T
 from .functions import urls as U
-from .plans.search import B, K1, LABELS, MANDATORY, WEIGHTS, expand_query
 
 _RFC = r"^\d{4}-\d{2}-\d{2}[Tt ](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?(?:[Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)$"
 
@@ -116,7 +115,8 @@ def label(x: str) -> str:
 
 def tiers() -> str:
     listed = "source_tier = 'apilayer' OR coalesce(len(list_filter(provenance, lambda p: starts_with(p.source_id, 'apilayer-'))) > 0, false)"
-    return f"list_filter([CASE WHEN coalesce({listed}, false) THEN 'apilayer' END, CASE WHEN source_tier = 'public' THEN 'public' END], lambda x: x IS NOT NULL)"
+    public = "source_tier = 'public' OR coalesce(len(list_filter(provenance, lambda p: p.source_id = 'public-apis-readme')) > 0, false)"
+    return f"list_filter([CASE WHEN coalesce({listed}, false) THEN 'apilayer' END, CASE WHEN coalesce({public}, false) THEN 'public' END], lambda x: x IS NOT NULL)"
 
 
 AUTH = "list_distinct(list_filter(list_transform(coalesce(auth, []), lambda a: a.type), lambda k: k IN ('none', 'api_key', 'oauth2', 'basic', 'bearer', 'signed', 'user_agent', 'other', 'unknown')))"
@@ -129,69 +129,3 @@ def tri(c: str) -> str:
 
 def joined(c: str) -> str:
     return f"coalesce(array_to_string(list_filter({c}, lambda v: v IS NOT NULL), chr(10)), '')"
-
-
-FRESH = f"""
-fresh AS (
-  SELECT *, CASE WHEN marked THEN 'stale' WHEN age IS NULL THEN 'unknown' WHEN age <= 365 THEN 'fresh' ELSE 'stale' END AS freshness
-  FROM (SELECT *, greatest(0, CAST(floor((max(stamp) OVER () - stamp) / 86400000000) AS BIGINT)) AS age FROM (
-    SELECT row_id AS doc, list_max(list_filter(list_concat([{micros("last_checked_at")}], list_transform(coalesce(provenance, []), lambda p: {micros("p.retrieved_at")})), lambda x: x IS NOT NULL)) AS stamp,
-      regexp_matches(lower({joined("quality_flags")}), 'stale|outdated') OR coalesce(status, '') = 'stale' AS marked
-    FROM catalog_records))
-)"""
-
-
-def search(aliases: list, a: dict) -> str:
-    """The SQL of a search over catalog_records; aliases and arguments as for plans.search."""
-    e = expand_query(a["query"], aliases)
-    fields = list(WEIGHTS)
-    src = {"name": "name", "aliasesTags": f"{joined('aliases')} || chr(10) || {joined('tags')}", "categories": joined("categories"), "description": "description"}
-    dfs = ", ".join(f"sum(CAST(list_contains(every, {q(t)}) AS BIGINT)) AS df{k}" for k, t in enumerate(e.terms))
-    gains = []
-    for k, t in enumerate(e.terms):
-        for j, f in enumerate(fields):
-            tf = f"CAST(len(list_filter(t_{f}, lambda x: x = {q(t)})) AS DOUBLE)"
-            idf = f"ln(1 + (n - df{k} + 0.5) / (df{k} + 0.5))"
-            gains.append(f"struct_pack(c := -({WEIGHTS[f]}::DOUBLE * {e.weights[t]}::DOUBLE * {idf} * ({tf} * {K1 + 1}::DOUBLE / ({tf} + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * len(t_{f}) / avg_{f})))), f := {j}, t := {q(t)})")
-    gate = " AND ".join([f"list_contains(every, {q(t)})" for t, w in e.weights.items() if w == 1 and t in MANDATORY] or ["true"])
-    has = {c: " AND ".join(f"list_contains(every, {q(t)})" for t in ts) or "false" for c, ts in e.concepts.items()}
-    if len(has) >= 2:
-        gate += "".join(f" AND ({h})" for h in has.values())
-    p = T.phrase_of(a["query"])
-    exact, prefix, starts = f"canon = {q(p)}", f"starts_with(canon, {q(p)})" if len(p) >= 3 else "false", f"length(canon) >= 3 AND starts_with({q(p)}, canon)"
-    bonus = f"CASE WHEN {exact} THEN 14 WHEN {prefix} THEN 7 WHEN {starts} THEN 2 ELSE 0 END" if p and e.terms else "0"
-    said = f"CASE WHEN {exact} THEN 'exact name match' WHEN {prefix} THEN 'name prefix match' WHEN {starts} THEN 'query starts with API name' END" if p and e.terms else "NULL"
-    parts = f"list_sort(list_filter([{', '.join(gains)}], lambda g: g.c < 0))" if gains else "CAST([] AS STRUCT(c DOUBLE, f INTEGER, t VARCHAR)[])"
-    where = ["true"]
-    if a["categories"]:
-        each = []
-        for c in a["categories"]:
-            each.append(f"list_contains(cat_ids, {q(T.phrase_of(c))})")
-            each += [f"list_contains(t_categories, {q(t)})" for t in expand_query(c, aliases).terms]
-        where.append("(" + " OR ".join(each) + ")")
-    if a["source_tier"] != "all":
-        where.append(f"list_contains(tiers, {q(a['source_tier'])})")
-    if a["auth"]:
-        where.append(f"list_contains(kinds, {q(a['auth'])})")
-    where += [f"{k} = {q(a[k])}" for k in ("https", "cors", "status") if a[k]]
-    if a["query"].strip():
-        where.append("lexical > 0")
-    labels = "[" + ", ".join(q(LABELS.get(f, f)) for f in fields) + "]"
-    covered = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {h} THEN {q(c)} END" for c, h in has.items()) + "], lambda x: x IS NOT NULL), ', ')" if has else "''"
-    reasons = (
-        f"array_to_string(list_filter(list_concat([said], list_transform(parts[1:(CASE WHEN said IS NULL THEN 6 ELSE 5 END)], lambda g: {labels}[g.f + 1] || ' matches ''' || g.t || ''''), "
-        f"[{q('query aliases: ' + ', '.join(e.matched)) if e.matched else 'NULL'}, CASE WHEN {covered} <> '' THEN 'concept coverage: ' || {covered} END, "
-        "CASE freshness WHEN 'fresh' THEN 'fresh source snapshot' WHEN 'stale' THEN 'stale source penalty' END, CASE WHEN status = 'active' THEN 'active product boost' END]), lambda x: x IS NOT NULL), '; ')"
-    )
-    return f"""WITH base AS (
-  SELECT row_id AS doc, id, trim(coalesce(name, '')) AS name, docs_url, {tri("https")} AS https, {tri("cors")} AS cors, {STATUS} AS status, {tiers()} AS tiers, {AUTH} AS kinds,
-    {phrase("name")} AS canon, array_to_string({words("name")}, ' ') AS norm, list_transform(coalesce(categories, []), lambda c: {phrase("c", False)}) AS cat_ids, {", ".join(f"{terms(words(src[f]))} AS t_{f}" for f in fields)}
-  FROM catalog_records),
-rows AS (SELECT *, list_concat(list_concat(t_name, t_aliasesTags), list_concat(t_categories, t_description)) AS every FROM base),
-stats AS (SELECT greatest(1, count(*)) AS n, {", ".join(f"greatest(1.0::DOUBLE, avg(len(t_{f}))) AS avg_{f}" for f in fields)}{", " + dfs if dfs else ""} FROM rows),
-{FRESH.strip()},
-p AS (SELECT rows.*, freshness, age, {parts} AS parts, {bonus} AS bonus, {said} AS said, {gate} AS gate FROM rows JOIN fresh USING (doc) CROSS JOIN stats),
-s AS (SELECT *, CASE WHEN gate THEN coalesce(-list_sum(list_transform(parts, lambda g: g.c)), 0) + bonus ELSE 0 END AS lexical FROM p),
-z AS (SELECT *, lexical + (CASE freshness WHEN 'fresh' THEN 0.04::DOUBLE WHEN 'stale' THEN -0.18::DOUBLE ELSE 0 END + CASE WHEN age > 730 THEN -0.08::DOUBLE ELSE 0 END) + CASE WHEN status = 'active' THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN list_contains(tiers, 'apilayer') THEN 0.005::DOUBLE ELSE 0 END AS raw FROM s WHERE {" AND ".join(where)})
-SELECT CAST(row_number() OVER (ORDER BY raw DESC, CAST(list_contains(tiers, 'apilayer') AS INT) DESC, norm, id NULLS FIRST, doc) AS INTEGER) AS rank, doc, id, name, round(raw, 6) AS score, {reasons} AS reasons, CASE WHEN len(tiers) = 1 THEN tiers[1] ELSE 'merged' END AS source_tier, freshness, coalesce({safe_url("docs_url")}, '') AS docs_url
-FROM z QUALIFY rank <= {a["limit"]}"""

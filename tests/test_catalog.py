@@ -73,9 +73,9 @@ def rec(k, id, name, **kw):
 
 def test_groups_and_merge(spark):
     rows = [
-        rec(1, "a", "Cat Facts", tags=["x", "B"], auth=[("api_key", "header", "k", "s", 1.0)], https="yes", docs_url="https://c.example/#a"),
-        rec(2, "b", "Cat Facts API", tags=["b"], auth=[("unknown", "unknown", "", "s", 0.5)], https="unknown"),
-        rec(3, "c", "Other", aliases=["cat facts"], description="text", provider="Q", docs_url="HTTPS://C.example"),
+        rec(1, "a", "Lake Notes", tags=["x", "B"], auth=[("api_key", "header", "k", "s", 1.0)], https="yes", docs_url="https://c.example/#a"),
+        rec(2, "b", "Lake Notes API", tags=["b"], auth=[("unknown", "unknown", "", "s", 0.5)], https="unknown"),
+        rec(3, "c", "Other", aliases=["lake notes"], description="text", provider="Q", docs_url="HTTPS://C.example"),
         rec(4, "d", "Alone", provider=None),
         rec(5, None, None, provider=None, aliases=None, tags=None, auth=None, provenance=None, rights=None),
     ]
@@ -86,7 +86,7 @@ def test_groups_and_merge(spark):
     one = m[1]
     assert (one.id, one.name, one.provider, one.https, one.description) == ("c", "Other", "Q", "yes", "text")
     assert one.tags == ["B", "x"] and one.auth[0].type == "api_key" and one.merged_rows == 3
-    assert one.aliases == ["Cat Facts", "Cat Facts API"]
+    assert one.aliases == ["Lake Notes", "Lake Notes API"]
     assert set(m) == {1, 4, 5}
 
 

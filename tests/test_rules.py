@@ -60,9 +60,9 @@ def test_each_rule(spark):
 
 def test_names_of_one_provider(spark):
     rows = [
-        rec(1, "a", "Cat Facts", aliases=["Felines"]),
+        rec(1, "a", "Lake Notes", aliases=["Ponds"]),
         rec(2, "b", "Dogs", aliases=["FELINES API", "cat-facts", "Fish"]),
-        rec(3, "c", "Cat Facts", provider="Q"),
+        rec(3, "c", "Lake Notes", provider="Q"),
         rec(4, "d", "Fish", provider="p"),
         rec(5, "e", "Dogs", provider=None),
     ]
