@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Names of query parameters that carry secrets, and endings of such names.
 SENSITIVE_KEYS = (
-    "access_key", "access_token", "api_key", "apikey", "auth", "authorization", "bearer", "client_secret", "credential", "googleaccessid", "jwt", "key",
-    "passwd", "password", "private_key", "refresh_token", "secret", "secret_key", "security_token", "sig", "signature", "subscription_key", "token",
+    "api_key", "apikey", "access_key", "auth", "bearer", "client_secret", "credential", "googleaccessid", "jwt", "key", "passwd", "private_key",
+    "refresh_token", "secret_key", "security_token", "sig", "subscription_key", "token", "access_token", "secret", "password", "signature", "authorization",
 )
 SENSITIVE_ENDINGS = ("_api_key", "_credential", "_secret", "_signature", "_subscription_key", "_token")
 

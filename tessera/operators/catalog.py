@@ -49,15 +49,17 @@ def record_text() -> Column:
 def content_version(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row, version: v1- and 16 hex digits of a hash of all rows, whatever their order.
 
-    Rows are hashed, the hashes of a bucket (their first three digits) are hashed in
-    order, and those 4,096 at most once more. Equal rows count as often as they come.
+    A tree of SHA-256: the hash of each different row with the number of times it comes, in
+    order, hashed together by their first six digits, these by the first three, and these
+    once more. So no task holds more than a small part of the hashes, and a table without
+    rows has a version too.
     """
     rows = df.select(row_hash(columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    mixed = rows.select(F.substring("h", 1, 3).alias("b"), F.concat_ws("x", "h", "n").alias("h"))
-    # within a bucket hashes are summed as numbers first, so that it need not be held in one task
-    part = mixed.select("b", F.conv(F.substring(F.sha2("h", 256), 1, 12), 16, 10).cast("decimal(38,0)").alias("x")).groupBy("b").agg(F.sum("x").cast("decimal(38,0)").alias("x"), F.count(F.lit(1)).alias("n"))
-    text = F.concat_ws(":", "b", F.col("x").cast("string"), "n")
-    return part.agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("t")).select(F.concat(F.lit("v1-"), F.substring(F.sha2("t", 256), 1, 16)).alias("version"))
+    leaf = rows.select(F.substring("h", 1, 6).alias("b"), F.concat_ws("x", "h", "n").alias("h"))
+    together = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    six = leaf.groupBy("b").agg(together("h").alias("h"))
+    three = six.groupBy(F.substring("b", 1, 3).alias("p")).agg(together(F.concat_ws(":", "b", "h")).alias("h"))
+    return three.agg(together(F.concat_ws(":", "p", "h")).alias("h")).select(F.concat(F.lit("v1-"), F.substring("h", 1, 16)).alias("version"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -45,12 +45,10 @@ def linked(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         told = skew_join(e.select(F.col("x").alias("y"), F.col("y").alias("x")), labels.select(F.col("x").alias("y"), "g"), ["y"], heavy=heavy)
         least = told.groupBy("x").agg(F.min("g").alias("m"))
         step = cut(labels.join(least, "x").select("x", F.col("g").alias("old"), F.least("g", "m").alias("g")))
-        jump = skew_join(step, step.select(F.col("x").alias("g"), F.col("g").alias("g2")), ["g"], "left", heavy=_heavy(step, "g", n))
-        new = cut(jump.select("x", "old", F.least("g", F.coalesce("g2", "g")).alias("g")))
-        moved = new.where(F.col("g") != F.col("old")).limit(1).count()
-        labels = new.select("x", "g")
-        if not moved:
+        if not step.where(F.col("g") != F.col("old")).limit(1).count():
             return labels.select(F.col("x").alias("vertex"), F.col("g").alias("group"))
+        jump = skew_join(step.select("x", "g"), step.select(F.col("x").alias("g"), F.col("g").alias("g2")), ["g"], "left", heavy=_heavy(step, "g", n))
+        labels = cut(jump.select("x", F.least("g", F.coalesce("g2", "g")).alias("g")))
 
 
 def entity_groups(records: DataFrame, key: str = "row_id") -> DataFrame:
@@ -73,18 +71,26 @@ def meaningful(c: Column, kind: str) -> Column:
 
 
 def merge_groups(records: DataFrame, groups: DataFrame, key: str = "row_id") -> DataFrame:
-    """One record for each group: columns of the record schema but openapi, and group.
-
-    Rows are ordered by id and content. Scalars: the last value that says something; id,
-    name, provider and tier of the last row come first. Names and aliases, categories,
-    tags and flags are united whatever the letter case; of provenance with the same
-    source, address, revision and hash the last holds; auth is the last with a known kind,
-    else the last; rights are those of the last row. Lists are gathered by different
-    values, never by rows, so groups may be large.
+    """One record for each group: columns of the record schema (openapi is null), group and merged_rows.
+
+    Rows are ordered by id and content (the fields in the order of their names, as JSON).
+    Scalars: the last value that says something; id, name, provider and tier of the last row
+    come first. Names and aliases, categories, tags and flags are united whatever the letter
+    case; of provenance with the same source, address, revision and hash the last holds; auth
+    is the last with a known kind, else the last; rights are those of the last row.
+
+    One sort over all rows gives each a number, by which all that follows compares; it is
+    split by content too, so a group may hold any share of the rows. Lists are gathered by
+    different values, never by rows.
     """
     kinds = dict(records.dtypes)
-    rows = records.join(groups, key).withColumn("ord", F.struct(F.coalesce("id", F.lit("")).alias("i"), F.to_json(F.struct(*[c for c in records.columns])).alias("j")))
-    rows = cut(rows.withColumn("known_auth", F.coalesce(F.exists("auth", lambda x: x["type"] != "unknown"), F.lit(False))))  # read six times
+    named = [c for c in (x.split()[0] for x in R.RECORD.replace("\n", " ").split(", ")) if c in kinds and c != key]
+    rows = records.select(key, *named).join(groups.select(key, "group"), key)
+    content = F.to_json(F.struct(*sorted(named)), {"ignoreNullFields": "false"})
+    order = ["group", "__id", "__content", key]
+    rows = rows.withColumns({"__id": F.coalesce("id", F.lit("")), "__content": content}).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumn("ord", F.monotonically_increasing_id()).drop("__id", "__content", "openapi")
+    rows = cut(rows.withColumn("known_auth", F.coalesce(F.exists("auth", lambda x: x["type"] != "unknown"), F.lit(False))))
     last = lambda c: F.max_by(c, F.when(meaningful(F.col(c), kinds[c]), F.col("ord")))
     primary = lambda c: F.coalesce(F.max_by(F.when(meaningful(F.col(c), kinds[c]), F.col(c)), "ord"), last(c))
     one = rows.groupBy("group").agg(
@@ -93,21 +99,20 @@ def merge_groups(records: DataFrame, groups: DataFrame, key: str = "row_id") ->
         F.max("last_checked_at").alias("last_checked_at"), F.max_by("rights", "ord").alias("rights"),
         F.max_by("auth", F.when(F.size("auth") > 0, F.struct("known_auth", "ord"))).alias("auth"), F.count(F.lit(1)).alias("merged_rows"),
     )
-
-    def united(values: Column, name: str) -> DataFrame:
-        each = rows.select("group", F.explode(values).alias("v")).select("group", F.trim("v").alias("v")).where(F.col("v") != "")
-        once = each.groupBy("group", F.lower("v").alias("k")).agg(F.min("v").alias("v"))
-        return once.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias(name))
-
-    out = one
     empty = F.array().cast("array<string>")
-    for c in ("categories", "tags", "quality_flags"):
-        out = out.join(united(F.col(c), c), "group", "left")
-    out = out.join(united(F.concat(F.array("name"), F.coalesce("aliases", empty)), "aliases"), "group", "left")
-    out = out.withColumn("aliases", F.filter("aliases", lambda v: F.lower(v) != F.lower(F.coalesce("name", F.lit("")))))
+    lists = {"aliases": F.concat(F.array("name"), F.coalesce("aliases", empty)), **{c: F.coalesce(c, empty) for c in ("categories", "tags", "quality_flags")}}
+    listed = lambda n: lambda x: F.struct(F.lit(n).alias("list"), F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("v"))
+    entries = F.concat(*[F.transform(v, listed(n)) for n, v in lists.items()])
+    each = rows.select("group", F.inline(entries)).where(F.col("v") != "")
+    once = each.groupBy("group", "list", F.lower("v").alias("k")).agg(F.min("v").alias("v"))
+    united = once.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("list", "k", "v"))).alias("all"))
+    of = lambda n: F.transform(F.filter("all", lambda x: x["list"] == n), lambda x: x["v"]).alias(n)
     p = rows.select("group", "ord", F.explode("provenance").alias("p"))
     p = p.groupBy("group", "p.source_id", "p.source_url", "p.revision", "p.content_hash").agg(F.max_by("p", "ord").alias("p"))
     by = F.struct(F.coalesce("source_id", F.lit("")).alias("a"), F.coalesce("revision", F.lit("")).alias("b"), F.coalesce("source_url", F.lit("")).alias("c"), F.coalesce("content_hash", F.lit("")).alias("d"), "p")
     p = p.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(by)), lambda x: x["p"]).alias("provenance"))
-    out = out.join(p, "group", "left")
-    return out.withColumns({c: F.coalesce(c, empty) for c in ("categories", "tags", "quality_flags", "aliases")})
+    out = one.join(united.select("group", *[of(n) for n in lists]), "group", "left").join(p, "group", "left")
+    out = out.withColumn("aliases", F.filter("aliases", lambda v: F.lower(v) != F.lower(F.coalesce("name", F.lit("")))))
+    if "openapi" in kinds:
+        out = out.withColumn("openapi", F.lit(None).cast(records.schema["openapi"].dataType))
+    return out.withColumns({c: F.coalesce(c, empty) for c in lists})

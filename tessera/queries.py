@@ -309,6 +309,27 @@ walk(x, g) AS (SELECT x, x FROM linked UNION SELECT linked.y, walk.g FROM walk J
 groups AS (SELECT r.row_id, coalesce(min(w.g), r.row_id) AS "group" FROM (SELECT DISTINCT row_id FROM catalog_records) r LEFT JOIN walk w ON w.x = r.row_id GROUP BY r.row_id)"""
 TOKENS_SQL = f"WITH {_TOKENS} SELECT row_id, token FROM tokens"
 GROUPS_SQL = f"WITH RECURSIVE {_GROUPS} SELECT row_id, \"group\" FROM groups"
+def _merged_sql() -> str:
+    named = sorted(c.split()[0] for c in R.RECORD.replace("\n", " ").split(", ") if not c.startswith("row_id"))
+    says = lambda c: f"coalesce({c} NOT IN ('', 'unknown'), false)"
+    last = lambda c: f"arg_max({c}, ord) FILTER (WHERE {says(c)})"
+    primary = lambda c: f"coalesce(max(CASE WHEN final AND {says(c)} THEN {c} END), {last(c)}) AS {c}"
+    other = lambda c: f"coalesce({last(c)}, max(CASE WHEN final THEN {c} END)) AS {c}"
+    entries = " UNION ALL ".join(f"SELECT \"group\", '{n}' AS list, trim(unnest({v})) AS v FROM r" for n, v in {"aliases": "list_concat([name], coalesce(aliases, []))", "categories": "categories", "tags": "tags", "quality_flags": "quality_flags"}.items())
+    united = lambda n, keep="true": f"coalesce(string_agg(v, '|' ORDER BY k, v) FILTER (WHERE list = '{n}' AND {keep}), '') AS {n}"
+    return f"""WITH RECURSIVE {_GROUPS},
+q AS (SELECT c.*, g."group", row_number() OVER (ORDER BY g."group", coalesce(c.id, ''), CAST(to_json(struct_pack({", ".join(f"{n} := c.{n}" for n in named)})) AS VARCHAR), c.row_id) AS ord FROM catalog_records c JOIN groups g USING (row_id)),
+r AS (SELECT *, ord = max(ord) OVER (PARTITION BY "group") AS final, len(list_filter(coalesce(auth, []), lambda a: a.type <> 'unknown')) > 0 AS known FROM q),
+one AS (SELECT "group", {", ".join(map(primary, ("id", "name", "provider", "source_tier")))}, {", ".join(map(other, ("description", "docs_url", "https", "cors", "status")))}, max(last_checked_at) AS last_checked_at, count(*) AS merged_rows,
+  arg_max(auth, struct_pack(a := known, b := ord)) FILTER (WHERE len(auth) > 0) AS auth FROM r GROUP BY "group"),
+e AS (SELECT "group", list, lower(v) AS k, min(v) AS v FROM ({entries}) WHERE v <> '' GROUP BY ALL),
+lists AS (SELECT e."group", {united("aliases", "k <> lower(coalesce(one.name, ''))")}, {united("categories")}, {united("tags")}, {united("quality_flags")} FROM e JOIN one USING ("group") GROUP BY e."group"),
+sources AS (SELECT "group", count(*) AS sources FROM (SELECT DISTINCT "group", p.source_id, p.source_url, p.revision, p.content_hash FROM (SELECT "group", unnest(provenance) AS p FROM r)) GROUP BY "group")
+SELECT one.* EXCLUDE (auth), coalesce(aliases, '') AS aliases, coalesce(categories, '') AS categories, coalesce(tags, '') AS tags, coalesce(quality_flags, '') AS quality_flags, CAST(to_json(list_transform(auth, lambda a: a.type)) AS VARCHAR) AS auth, coalesce(sources, -1) AS sources
+FROM one LEFT JOIN lists USING ("group") LEFT JOIN sources USING ("group")"""
+
+
+MERGED_SQL = _merged_sql()
 CATALOG_SQL = f"""WITH {_TOKENS} {_checks()} UNION ALL {REPEATED_SQL}
 UNION ALL SELECT row_id, 'docs_url', 'is the documentation of another record' FROM tokens WHERE token LIKE 'docs:%' QUALIFY row_number() OVER (PARTITION BY token ORDER BY row_id) > 1
 UNION ALL SELECT DISTINCT row_id, 'name', 'is a name of another record of the provider' FROM (SELECT row_id, row_number() OVER (PARTITION BY token ORDER BY row_id) AS k FROM tokens WHERE token LIKE 'provider-name:%') WHERE k > 1"""
@@ -326,7 +347,7 @@ def entity_groups(spark: SparkSession, sf: str) -> DataFrame:
 def merged_records(spark: SparkSession, sf: str) -> DataFrame:
     r = read(spark, sf, "catalog_records")
     m = resolve.merge_groups(r, cut(resolve.entity_groups(r)))
-    return m.select("group", "id", "name", "provider", "source_tier", "description", "docs_url", "https", "cors", "status", "last_checked_at", "merged_rows", *[F.array_join(c, "|").alias(c) for c in ("aliases", "categories", "tags", "quality_flags")], F.to_json("auth").alias("auth"), F.size("provenance").alias("sources"))
+    return m.select("group", "id", "name", "provider", "source_tier", "description", "docs_url", "https", "cors", "status", "last_checked_at", "merged_rows", *[F.array_join(c, "|").alias(c) for c in ("aliases", "categories", "tags", "quality_flags")], F.to_json(F.col("auth.type")).alias("auth"), F.coalesce(F.array_size("provenance"), F.lit(-1)).alias("sources"))
 
 
 def part_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,6 +395,19 @@ def content_version(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.content_version(r.select(catalog.record_text().alias("record")), ["record"])
 
 
+def _version_sql() -> str:
+    blank = {"last_checked_at": "CAST(NULL AS VARCHAR)", "provenance": "list_transform(provenance, lambda p: CASE WHEN p IS NOT NULL THEN struct_pack(source_id := p.source_id, source_url := p.source_url, revision := p.revision, retrieved_at := CAST(NULL AS VARCHAR), content_hash := p.content_hash, license := p.license) END)", "rights": "list_sort(map_entries(rights))"}
+    named = [c.split()[0] for c in R.RECORD.replace("\n", " ").split(", ") if not c.startswith("row_id")]
+    text = f"CAST(to_json(struct_pack({', '.join(f'{n} := {blank.get(n, n)}' for n in named)})) AS VARCHAR)"
+    return f"""WITH h AS (SELECT h, count(*) AS n FROM (SELECT sha256({text}) AS h FROM catalog_records) GROUP BY h),
+six AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h || 'x' || n, ',' ORDER BY h || 'x' || n)) AS h FROM h GROUP BY ALL),
+three AS (SELECT substr(b, 1, 3) AS p, sha256(string_agg(b || ':' || h, ',' ORDER BY b || ':' || h)) AS h FROM six GROUP BY ALL)
+SELECT 'v1-' || substr(sha256(coalesce(string_agg(p || ':' || h, ',' ORDER BY p || ':' || h), '')), 1, 16) AS version FROM three"""
+
+
+VERSION_SQL = _version_sql()
+
+
 def index_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records made of the sound rows of index tables."""
     entries = rejects.index_clean(read(spark, sf, "readme_lines"))
@@ -391,7 +425,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
-    "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
+    "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "content_version": VERSION_SQL, "merged_records": MERGED_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
     "part_groups": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS group_key FROM part",
     "search_gated": X.search(S.check_arguments(**GATED), _DOCUMENTS), "search_totals": " UNION ALL ".join(X.totals(S.check_arguments(**a)) for a in SEARCHES.values()),
     "query_terms": X.expanded(EXPANDED), "render_results": X.rendered(S.check_arguments(query="weather", limit=20)),

@@ -61,7 +61,7 @@ def test_each_rule(spark):
 def test_names_of_one_provider(spark):
     rows = [
         rec(1, "a", "Lake Notes", aliases=["Ponds"]),
-        rec(2, "b", "Dogs", aliases=["FELINES API", "cat-facts", "Fish"]),
+        rec(2, "b", "Dogs", aliases=["PONDS API", "lake-notes", "Fish"]),
         rec(3, "c", "Lake Notes", provider="Q"),
         rec(4, "d", "Fish", provider="p"),
         rec(5, "e", "Dogs", provider=None),
@@ -77,20 +77,20 @@ def label(text):
 
 
 def test_table(spark, tiny):
-    """All rows the SQL gives, and beyond them those of the other rules only, as plain Python finds them."""
+    """All rows the SQL gives, and of some rules those that plain Python finds."""
     db = duckdb.connect()
     db.execute(f"CREATE VIEW catalog_records AS SELECT * FROM read_parquet('{tiny}/catalog_records.parquet{'/*' if os.path.isdir(f'{tiny}/catalog_records.parquet') else ''}')")
     sql = Counter(db.execute(queries.ORACLE["validation_errors"]).fetchall())
     got = Counter(tuple(r) for r in queries.validation_errors(spark, tiny).collect())
-    more, want = got - sql, Counter()
-    assert not sql - got
+    want = Counter()
+    assert got == sql
     rows = sorted(queries.read(spark, tiny, "catalog_records").collect(), key=lambda r: r.row_id)
     seen, same = set(), set()
     for r in rows:
         for a in ("name", "source"):
             want[r.row_id, "auth", f"{a} must be a string"] = any(x is None or x[a] is None for x in r.auth or [])
         entries = [x and (x.type, x.location, (x.name or "").lower(), (x.source or "").lower(), x.confidence) for x in r.auth or []]
-        want[r.row_id, "auth", "entries must be unique"] = len(set(entries)) < len(entries) and (r.row_id, "auth", "entries must be unique") not in sql
+        want[r.row_id, "auth", "entries must be unique"] = len(set(entries)) < len(entries)
         keys = [x and (x.source_id, x.source_url, x.revision, x.content_hash) for x in r.provenance or []]
         want[r.row_id, "provenance", "entries must be unique"] = len(set(keys)) < len(keys)
         urls = [("provenance.source_url", x and x.source_url) for x in r.provenance or []]
@@ -104,7 +104,8 @@ def test_table(spark, tiny):
         if tokens & seen:
             same.add(r.row_id)
         seen |= tokens
-    assert more and more == +Counter({k: int(v) for k, v in want.items()})
+    kinds = {k[1:] for k in want}
+    assert Counter({k: n for k, n in got.items() if k[1:] in kinds}) == +Counter({k: int(v) for k, v in want.items()})
     whole = queries.catalog_errors(spark, tiny).collect()
     assert {r.row_id for r in whole if r.path == "name" and r.message.startswith("is a name")} == same and same
     assert Counter(tuple(r) for r in whole) > got
