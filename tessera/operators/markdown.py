@@ -49,7 +49,7 @@ def split_rows(df: DataFrame, text: str = "text") -> DataFrame:
     marked = row.contains("`") | row.contains("\\")
     marks = F.length(row) - F.length(F.replace(F.replace(row, F.lit("`")), F.lit("\\")))
     quick = F.when(marked, F.regexp_extract_all(F.concat("inner", F.lit("|")), F.lit(_CELL), F.lit(1))).otherwise(F.split("inner", r"\|", -1))
-    cells = F.when(marked & ((marks > MOST_MARKS) | full.endswith("\\")), _split_long(row)).otherwise(quick)
+    cells = F.when(marked & ((marks > MOST_MARKS) | full.endswith("\\")), _split_long(F.when(full.endswith("\\"), row).otherwise(full))).otherwise(quick)
     df = df.withColumn("cells", F.when(row.contains("|"), F.when(F.replace(F.replace(full, F.lit("|")), F.lit(" ")) == "", F.array().cast("array<string>")).otherwise(F.transform(cells, lambda c: F.trim(c)))))
     return df.drop("full", "inner")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import markdownsql as M
 from . import searchsql as X
 from . import sqltext as Q
 from .functions import records as R
@@ -424,7 +425,7 @@ QUERIES: dict[str, Query] = {
 } | {k: _search(a) for k, a in SEARCHES.items()}
 
 ORACLE: dict[str, str] = {
-    "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
+    "p1_found": M.FOUND, "p1_clean": M.CLEAN, "spelled_values": M.SPELLED, "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
     "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "content_version": VERSION_SQL, "merged_records": MERGED_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
     "part_groups": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS group_key FROM part",
     "search_gated": X.search(S.check_arguments(**GATED), _DOCUMENTS), "search_totals": " UNION ALL ".join(X.totals(S.check_arguments(**a)) for a in SEARCHES.values()),
