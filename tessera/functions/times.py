@@ -28,3 +28,8 @@ def rfc3339_micros(text: Column) -> Column:
     )
     seconds = day * 86400 + num(12) * 3600 + num(15) * 60 + num(18) - minutes * 60
     return F.when(is_rfc3339(text), seconds * 1_000_000 + frac)
+
+
+def now_rfc3339() -> Column:
+    """The moment the query starts at, in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

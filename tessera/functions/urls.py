@@ -103,3 +103,13 @@ def provider_from_url(url: Column, fallback: Column) -> Column:
     """The host without a leading www. or api.; the fallback where there is none."""
     h = F.regexp_replace(host(url), r"^(?:www\d*|api)\.", "")
     return F.when(F.coalesce(h, F.lit("")) != "", h).otherwise(fallback)
+
+
+def is_excluded(url: Column, hosts: tuple[str, ...] = (), paths: dict[str, str] | None = None) -> Column:
+    """Whether an address is on one of hosts, or on a host of paths at its path or below it; letter case and a dot at the end of the host aside. Null is not."""
+    h = F.rtrim(host(url), F.lit("."))
+    path = F.lower(F.when(part(url, "path") == "", "/").otherwise(part(url, "path")))
+    out = h.isin(*hosts) if hosts else F.lit(False)
+    for at, start in (paths or {}).items():
+        out = out | ((h == at) & ((path == start) | path.startswith(start.rstrip("/") + "/")))
+    return F.coalesce(out, F.lit(False))

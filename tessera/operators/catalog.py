@@ -9,10 +9,13 @@ from ..functions import records as R
 from ..functions import urls as U
 
 
-def entries_to_records(entries: DataFrame, source_id: str, source_url: str, revision: str, retrieved_at: str, content_hash: str, license: str | None = None) -> DataFrame:
-    """Records made of index entries (key line_id, name, url, description, auth, https, cors, category); entries without a name or a usable address give none."""
+def entries_to_records(entries: DataFrame, source_id: str, source_url: str, revision: str, retrieved_at: str, content_hash: str, license: str | None = None, rights: dict[str, str] | None = None, excluded: tuple[tuple[str, ...], dict[str, str]] = ((), {})) -> DataFrame:
+    """Records made of index entries (key line_id, name, url, description, auth, https, cors, category); entries without a name or a usable address, or with an excluded one, give none.
+
+    rights: of all records (the license, if none are given). excluded: hosts, and paths by host, as for urls.is_excluded.
+    """
     url = U.canonical_url(F.col("url"))
-    e = entries.withColumn("u", url).where((F.trim("name") != "") & F.col("u").isNotNull())
+    e = entries.withColumn("u", url).where((F.trim("name") != "") & F.col("u").isNotNull() & ~U.is_excluded(F.col("u"), *excluded))
     provider = U.provider_from_url(F.col("u"), F.col("name"))
     source = F.struct(F.lit(source_id).alias("source_id"), F.lit(source_url).alias("source_url"), F.lit(revision).alias("revision"), F.lit(retrieved_at).alias("retrieved_at"), F.lit(content_hash).alias("content_hash"), F.lit(license).cast("string").alias("license"))
     none = F.array().cast("array<string>")
@@ -21,7 +24,7 @@ def entries_to_records(entries: DataFrame, source_id: str, source_url: str, revi
         (F.when(F.coalesce("category", F.lit("")) != "", F.array("category")).otherwise(none) if "category" in entries.columns else none).alias("categories"), none.alias("tags"), provider.alias("provider"), F.lit("public").alias("source_tier"),
         F.col("u").alias("docs_url"), F.col("u").alias("homepage_url"), R.auth_entry(F.col("auth"), source_id).alias("auth"), R.tri_state(F.col("https")).alias("https"), R.tri_state(F.col("cors")).alias("cors"),
         F.lit("unknown").alias("status"), F.array(source).alias("provenance"), F.lit(retrieved_at).alias("last_checked_at"), F.array(F.lit("community_metadata_unverified")).alias("quality_flags"),
-        F.create_map(F.lit("license"), F.lit(license).cast("string")).alias("rights"),
+        F.create_map(*[F.lit(x).cast("string") for pair in (rights or {"license": license}).items() for x in pair]).alias("rights"),
     )
 
 

@@ -13,7 +13,7 @@ from . import sqltext as Q
 from .functions import records as R
 from .functions import text as T
 from .functions import urls as U
-from .operators import catalog, quality, rejects, resolve, snapshots
+from .operators import catalog, policy, quality, rejects, resolve, snapshots
 from .plans import search as S
 from .session import cut, shared_folder, spread
 
@@ -299,10 +299,14 @@ REPEATED_SQL = "SELECT row_id, 'id' AS path, 'must be unique' AS message FROM (S
 
 
 _SAME = f"lower({Q.part('canonical', 'scheme')} || '://' || {Q.part('canonical', 'authority')} || CASE WHEN {Q.part('canonical', 'path')} = '' THEN '/' ELSE {Q.part('canonical', 'path')} END || CASE WHEN {Q.part('canonical', 'query')} <> '' THEN '?' || {Q.part('canonical', 'query')} ELSE '' END)"
-_TOKENS = f"""called AS (SELECT row_id, provider, unnest(list_concat([name], coalesce(aliases, []))) AS c FROM catalog_records WHERE trim(coalesce(provider, '')) <> ''),
-tokens AS (SELECT row_id, 'id:' || lower(id) AS token FROM catalog_records WHERE coalesce(id, '') <> ''
+def _tokens(source: str = "catalog_records") -> str:
+    return f"""called AS (SELECT row_id, provider, unnest(list_concat([name], coalesce(aliases, []))) AS c FROM {source} WHERE trim(coalesce(provider, '')) <> ''),
+tokens AS (SELECT row_id, 'id:' || lower(id) AS token FROM {source} WHERE coalesce(id, '') <> ''
 UNION SELECT row_id, 'provider-name:' || {Q.label('provider')} || ':' || {Q.label('c')} FROM called WHERE trim(coalesce(c, '')) <> ''
-UNION SELECT row_id, 'docs:' || {_SAME} FROM (SELECT row_id, {_canon()} AS canonical FROM catalog_records) WHERE canonical IS NOT NULL)"""
+UNION SELECT row_id, 'docs:' || {_SAME} FROM (SELECT row_id, {_canon()} AS canonical FROM {source}) WHERE canonical IS NOT NULL)"""
+
+
+_TOKENS = _tokens()
 _GROUPS = f"""{_TOKENS},
 owned AS (SELECT row_id, min(row_id) OVER (PARTITION BY token) AS owner FROM tokens),
 linked AS (SELECT row_id AS x, owner AS y FROM owned WHERE row_id <> owner UNION SELECT owner, row_id FROM owned WHERE row_id <> owner),
@@ -416,17 +420,110 @@ def index_records(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("row_id", "id", "name", "description", F.array_join("categories", "|").alias("categories"), "provider", "docs_url", F.to_json("auth").alias("auth"), "https", "cors", "status")
 
 
+# ---- policy, reports, steps ----------------------------------------------------------------------
+
+#: What the records of one source of the test tables would have to say.
+POLICY = policy.SourcePolicy("partner-feed", "https://git.partner-feed.example/raw/{revision}", "MIT", rights=(("license", "MIT"),))
+#: Hosts, and paths by host, that are left out of catalogues in the test of excluded addresses.
+EXCLUDED = (("docs.norvane-data.test",), {"docs.harrow-finch.test": "/sokirezope-weather", "docs.fapikiroga.test": "/"})
+
+
+def source_policy(spark: SparkSession, sf: str) -> DataFrame:
+    return policy.policy_errors(read(spark, sf, "catalog_records"), POLICY)
+
+
+def _policy_sql() -> str:
+    some = lambda bad: f"len(list_filter(provenance, lambda p: coalesce({bad}, true))) > 0"
+    rules = [
+        ("source_tier", "coalesce(source_tier <> 'public', true)", "must be public"), ("openapi", "openapi IS NOT NULL", "must be null"), ("rights", "coalesce(list_sort(map_entries(rights)) <> [struct_pack(key := 'license', value := 'MIT')], true)", "must be those of the source"),
+        ("provenance.source_id", some("p.source_id <> 'partner-feed'"), "must be partner-feed"), ("provenance.revision", some("NOT regexp_matches(p.revision, '^[0-9a-f]{40}$')"), "must be a full commit"),
+        ("provenance.source_url", some("p.source_url <> 'https://git.partner-feed.example/raw/' || p.revision"), "must be pinned to the revision"), ("provenance.license", some("p.license <> 'MIT'"), "must be MIT"),
+        ("last_checked_at", "len(list_filter(provenance, lambda p: p.retrieved_at IS DISTINCT FROM last_checked_at)) > 0", "must be the time the source was retrieved at"),
+    ]
+    return " UNION ALL ".join(f"SELECT row_id, '{path}' AS path, '{message}' AS message FROM catalog_records WHERE {bad}" for path, bad, message in rules)
+
+
+def source_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of sources that are not one value in all records of a source: each record's own, of revision, content hash and license."""
+    r = read(spark, sf, "catalog_records")
+    return policy.disagreements(r, {f"provenance.{n}": F.col(f"provenance.{n}") for n in ("revision", "content_hash", "license")} | {"source_tier": F.array("source_tier"), "rights.license": F.array(F.try_element_at("rights", F.lit("license")))})
+
+
+def _values_sql() -> str:
+    lists = {f"provenance.{n}": f"list_transform(provenance, lambda p: p.{n})" for n in ("revision", "content_hash", "license")} | {"source_tier": "[source_tier]", "rights.license": "[rights['license']]"}
+    return " UNION ALL ".join(f"SELECT '{path}' AS path, 'must be one value in all records' AS message FROM (SELECT count(DISTINCT coalesce(v, chr(1))) AS n FROM (SELECT unnest({x}) AS v FROM catalog_records)) WHERE n > 1" for path, x in lists.items())
+
+
+def record_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of the rights of records against some of the closed set."""
+    return policy.key_differences(read(spark, sf, "catalog_records"), "row_id", F.to_json("rights"), quality.RIGHTS_KEYS[:5])
+
+
+KEYS_SQL = f"""WITH k AS (SELECT row_id, map_keys(rights) AS ks FROM catalog_records), a AS (SELECT [{', '.join(map(Q.q, quality.RIGHTS_KEYS[:5]))}] AS allowed)
+SELECT row_id, unnest(list_filter(allowed, lambda x: NOT list_contains(ks, x))) AS name, 'missing' AS problem FROM k, a WHERE ks IS NOT NULL
+UNION ALL SELECT row_id, unnest(list_filter(ks, lambda x: NOT list_contains(allowed, x))), 'unexpected' FROM k, a WHERE ks IS NOT NULL UNION ALL SELECT row_id, NULL, 'no object' FROM k WHERE ks IS NULL"""
+
+
+def report_errors(spark: SparkSession, sf: str) -> DataFrame:
+    s = snapshots.current(read(spark, sf, "catalog_snapshots"), "feed_id", "snapshot_no", "id", "delivered_at", {})
+    return policy.report_errors(s, read(spark, sf, "update_reports"), "feed_id", "snapshot_no").withColumnsRenamed({"feed": "feed_id", "no": "snapshot_no"})
+
+
+REPORT_SQL = """WITH n AS (SELECT feed_id, snapshot_no, count(DISTINCT id) AS n FROM catalog_snapshots WHERE feed_id IS NOT NULL AND snapshot_no IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY feed_id ORDER BY snapshot_no), 0) AS b FROM n),
+r AS (SELECT u.feed_id, u.snapshot_no, catalog_version AS v, counts AS c, n, b FROM update_reports u LEFT JOIN b USING (feed_id, snapshot_no) WHERE u.feed_id IS NOT NULL AND u.snapshot_no IS NOT NULL)
+SELECT feed_id, snapshot_no, 'snapshot_no' AS path, 'has no snapshot' AS message FROM r WHERE n IS NULL
+UNION SELECT feed_id, snapshot_no, 'catalog_version', 'must be v1- and 16 hex digits' FROM r WHERE n IS NOT NULL AND NOT coalesce(regexp_matches(v, '^v1-[0-9a-f]{16}$'), false)
+UNION SELECT feed_id, snapshot_no, 'counts', 'must be an object' FROM r WHERE n IS NOT NULL AND c IS NULL
+UNION SELECT feed_id, snapshot_no, 'counts.after', 'does not match the snapshot' FROM r WHERE n IS NOT NULL AND c IS NOT NULL AND c.after IS DISTINCT FROM n
+UNION SELECT feed_id, snapshot_no, 'counts.before', 'does not match the snapshot before' FROM r WHERE n IS NOT NULL AND c IS NOT NULL AND c.before IS DISTINCT FROM b
+UNION SELECT feed_id, snapshot_no, 'counts.normalized', 'is above parsed' FROM r WHERE n IS NOT NULL AND c.normalized > c.parsed"""
+
+
+def excluded_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    r = read(spark, sf, "catalog_records")
+    return r.where(U.is_excluded(F.col("docs_url"), *EXCLUDED)).select("row_id", "docs_url")
+
+
+EXCLUDED_SQL = f"SELECT row_id, docs_url FROM (SELECT *, rtrim({Q.host('docs_url')}, '.') AS h, lower(coalesce(nullif({Q.part('docs_url', 'path')}, ''), '/')) AS p FROM catalog_records) WHERE h = 'docs.norvane-data.test' OR (h = 'docs.harrow-finch.test' AND (p = '/sokirezope-weather' OR starts_with(p, '/sokirezope-weather/'))) OR (h = 'docs.fapikiroga.test' AND starts_with(p, '/'))"
+
+
+def unsorted_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.out_of_order(read(spark, sf, "catalog_records"), "row_id", "id")
+
+
+UNSORTED_SQL = "SELECT r.row_id FROM catalog_records r JOIN catalog_records b ON b.row_id + 1 = r.row_id WHERE r.id < b.id"
+
+
+def pipeline_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """From index tables to a catalogue: entries, records, and records once merged."""
+    entries = cut(rejects.index_clean(read(spark, sf, "readme_lines")))
+    r = cut(catalog.entries_to_records(entries, "index", "https://lists.example/index.md", "fixture-1", "2026-01-01T00:00:00Z", "a" * 64))
+    merged = resolve.entity_groups(r).select("group").distinct()
+    return policy.pipeline_counts(r.limit(0), entries, r, merged)
+
+
+def _pipeline_sql() -> str:
+    provider = f"coalesce(nullif(regexp_replace({Q.host('canonical')}, '^(?:www\\d*|api)\\.', ''), ''), name)"
+    record = f"SELECT line_id AS row_id, CASE WHEN {Q.slug('provider')} = {Q.slug('name')} THEN {Q.slug('name')} ELSE {Q.slug('provider')} || ':' || {Q.slug('name')} END AS id, trim(name, ' ') AS name, CAST([] AS VARCHAR[]) AS aliases, provider, canonical AS docs_url FROM (SELECT *, {provider} AS provider FROM (SELECT line_id, name, {_canon()} AS canonical FROM (SELECT line_id, name, url AS docs_url FROM entries)) WHERE trim(name) <> '' AND canonical IS NOT NULL)"
+    return f"""WITH RECURSIVE entries AS ({M.CLEAN}), made AS ({record}), {_tokens("made")},
+owned AS (SELECT row_id, min(row_id) OVER (PARTITION BY token) AS owner FROM tokens),
+linked AS (SELECT row_id AS x, owner AS y FROM owned WHERE row_id <> owner UNION SELECT owner, row_id FROM owned WHERE row_id <> owner),
+walk(x, g) AS (SELECT x, x FROM linked UNION SELECT linked.y, walk.g FROM walk JOIN linked ON linked.x = walk.x WHERE walk.g < linked.y)
+SELECT CAST(0 AS BIGINT) AS before, (SELECT count(*) FROM entries) AS parsed, (SELECT count(*) FROM made) AS normalized, (SELECT count(DISTINCT coalesce(g, row_id)) FROM made LEFT JOIN (SELECT x, min(g) AS g FROM walk GROUP BY x) ON x = row_id) AS after"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_clean, p6_found, token_stats, field_lengths, name_phrases, query_terms, search_gated, search_totals, render_results, freshness, record_values, spelled_values, slug_ids, url_forms, validation_errors, catalog_errors, repeated_ids,
-        identity_tokens, entity_groups, merged_records, part_groups, provider_tags, snapshot_diff, row_hashes, content_version, index_records,
+        identity_tokens, entity_groups, merged_records, part_groups, provider_tags, snapshot_diff, row_hashes, content_version, index_records, source_policy, source_values, record_keys, report_errors, excluded_addresses, unsorted_ids, pipeline_counts,
     )
 } | {k: _search(a) for k, a in SEARCHES.items()}
 
 ORACLE: dict[str, str] = {
     "p1_found": M.FOUND, "p1_clean": M.CLEAN, "spelled_values": M.SPELLED, "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
-    "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "content_version": VERSION_SQL, "merged_records": MERGED_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
+    "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "source_policy": _policy_sql(), "source_values": _values_sql(), "record_keys": KEYS_SQL, "report_errors": REPORT_SQL, "excluded_addresses": EXCLUDED_SQL, "unsorted_ids": UNSORTED_SQL, "pipeline_counts": _pipeline_sql(), "content_version": VERSION_SQL, "merged_records": MERGED_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
     "part_groups": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS group_key FROM part",
     "search_gated": X.search(S.check_arguments(**GATED), _DOCUMENTS), "search_totals": " UNION ALL ".join(X.totals(S.check_arguments(**a)) for a in SEARCHES.values()),
     "query_terms": X.expanded(EXPANDED), "render_results": X.rendered(S.check_arguments(query="weather", limit=20)),

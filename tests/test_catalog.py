@@ -130,7 +130,7 @@ def test_strict_json_and_files(tmp_path, spark):
     os.mkfifo(fifo)
     with pytest.raises(C.CatalogError):
         C.read_bytes(str(fifo))
-    doc = {"schema_version": 1, "catalog_version": "v", "generated_at": None, "records": [{"id": "a", "name": "A", "tags": ["t"]}]}
+    doc = {"schema_version": 1, "catalog_version": "v", "generated_at": None, "records": [dict.fromkeys(c.split()[0] for c in RECORD.replace("\n", " ").split(", ")[1:]) | {"id": "a", "name": "A", "tags": ["t"]}]}
     path = tmp_path / "c.json"
     C.publish({str(path): C.canonical_json(doc)})
     cat = C.load_catalog(spark, str(path))
