@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import heavy_keys, is_heavy
+from ..operators.skew import FLOOR, SHARE, heavy_keys, is_heavy, skew_join
+from ..session import cut
 
 K1, B = 1.2, 0.75
 FIELDS = ("name", "description", "tags", "categories")
@@ -23,28 +24,32 @@ def record_text(df: DataFrame, fields=FIELDS) -> Column:
 
 
 def document_frequencies(records: DataFrame, key: str, text: Column) -> DataFrame:
-    """term, df: the number of different keys with the term in any of their records.
+    """term, df, rows: the number of different keys with the term in any of their records, and of records with it.
 
     Texts are shuffled by key, once, and cut into terms after it, which moves a fraction
     of what pairs of term and key would. Records of a key with more than a small share of
     all rows are cut into terms before the shuffle instead. Records without a key belong
-    to no one and count for none.
+    to no one and count for no df.
     """
     slim = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), text.alias("text"))
     heavy = heavy_keys(slim, ["key"])
     light = slim.where(~is_heavy(["key"], heavy)).repartition("key")
-    pairs = light.select("key", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("key", "term").agg(F.lit(1).alias("one"))
+    of_key = lambda df: df.select("key", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = of_key(light)
     if heavy:
-        hot = slim.where(is_heavy(["key"], heavy)).select("key", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).distinct()
-        pairs = pairs.unionByName(hot.withColumn("one", F.lit(1)))
-    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        pairs = pairs.unionByName(of_key(slim.where(is_heavy(["key"], heavy))))
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("rows").alias("rows"))
+
+
+def heavy_terms(freq: DataFrame) -> list[tuple]:
+    """Terms that are in more than a small share of all pairs of record and term: fewer than 1 / SHARE, whatever the data."""
+    total = freq.agg(F.sum("rows")).first()[0] or 0
+    return [tuple(r) for r in freq.where(F.col("rows") > max(FLOOR, SHARE * total)).select("term").collect()]
 
 
 def collection(records: DataFrame, key: str, text: Column) -> DataFrame:
     """One row: n (different keys) and avg_len (terms a record, at least 1)."""
-    n = records.where(F.col(key).isNotNull()).agg(F.count_distinct(F.xxhash64(key)).alias("n"))
-    length = records.agg(F.greatest(F.lit(1.0), F.coalesce(F.avg(F.size(terms_of(text))), F.lit(1.0))).alias("avg_len"))
-    return n.crossJoin(length)
+    return records.agg(F.count_distinct(F.when(F.col(key).isNotNull(), F.xxhash64(key))).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg(F.size(terms_of(text))), F.lit(1.0))).alias("avg_len"))
 
 
 def weight(tf: Column, df: Column, length: Column, n: Column, avg_len: Column) -> Column:
@@ -67,9 +72,10 @@ def term_scores(records: DataFrame, row_id: str = "row_id", key: str = "id", of:
     tf = words.select("row", "key", F.size("ws").alias("length"), F.explode("ws").alias("term"))
     # of one record only, so reduced before the shuffle; rows are spread by row and term
     tf = tf.groupBy("row", "key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    freq = document_frequencies(records, key, text)
+    freq = cut(document_frequencies(records, key, text))
     stats = F.broadcast(collection(records, key, text))  # one row
-    scored = tf.join(freq, "term", "left").crossJoin(stats)
+    # a term may be in nearly every record
+    scored = skew_join(tf, freq, ["term"], "left", heavy_terms(freq)).crossJoin(stats)
     score = weight(F.col("tf"), F.coalesce("df", F.lit(0)), F.col("length"), F.col("n"), F.col("avg_len"))
     return scored.select(F.col("row").alias(row_id), F.col("key").alias(key), "term", "tf", F.coalesce("df", F.lit(0)).alias("df"), score.alias("score"))
 
