@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Tokens of a slot.
-SLOT = 2048
+#: Tokens of a slot at most and at least; the smallest share of the mix has so many slots where that allows.
+SLOT, LEAST_SLOT, LEAST_SLOTS = 2048, 32, 100
 #: Texts of a bucket and slots of a chunk, about: the units of the running sums.
 BUCKET, CHUNK = 10_000, 65_536
 
 
 def _streams(texts: DataFrame, passes: DataFrame, n: int) -> DataFrame:
-    """source, rep, pass, start, n: where each text starts in its source's stream.
+    """source, rep, pass, middle, n: where the middle of each text is in its source's stream.
 
     Running sums over a source in hash order, in two steps, so that a source with any
     share of the texts is worked on by many tasks: buckets of a range of hashes, then
@@ -39,7 +39,7 @@ def _streams(texts: DataFrame, passes: DataFrame, n: int) -> DataFrame:
     offset = sums.select("source", "pass", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "pass", "bucket").orderBy("h", "rep").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.withColumn("run", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offset, ["source", "pass", "bucket"])
-    return placed.select("source", "rep", "pass", "n", (F.col("pass") * F.col("tokens") + F.col("offset") + F.col("run")).alias("start"))
+    return placed.select("source", "rep", "pass", "n", (F.col("pass") * F.col("tokens") + F.col("offset") + F.col("run") + F.floor(F.col("n") / 2)).alias("middle"))
 
 
 def targets_of(targets: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def targets_of(targets: DataFrame) -> DataFrame:
     return ok.groupBy("source").agg(F.max("target_share").cast("double").alias("target_share"), F.max("max_repeats").cast("int").alias("max_repeats"))
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", text_id: str = "text_id", slot: int = SLOT) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", text_id: str = "text_id", slot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(uses, shares) of the largest mix that keeps to the targets.
 
     sized: key, source, text_id (equal for equal texts), n_tokens.
@@ -59,7 +59,7 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", text_id: str
     actual_share of each target. A source without any tokens cannot give its share; the
     others share the mix in proportion to their targets. The mix is as large as the
     source that runs out first allows, within its repeats. targets is a small table of
-    parameters.
+    parameters. A share is off its target by a slot and a text of the source at most.
     """
     spark = sized.sparkSession
     want = targets_of(targets)
@@ -71,6 +71,9 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", text_id: str
     live = [r for r in plan if r.tokens]
     share = sum(r.target_share for r in live)
     size = min((r.max_repeats * r.tokens * share / r.target_share for r in live), default=0.0)
+    if slot is None:
+        least = min((r.target_share / share for r in live), default=1.0)
+        slot = int(min(SLOT, max(LEAST_SLOT, size * least // LEAST_SLOTS)))
     slots = math.floor(size / slot)
     passes = spark.createDataFrame([(r.source, int(r.tokens), r.max_repeats) for r in live], "source string, tokens long, max_repeats int")
     # slots to sources: the bounds are as many as targets
@@ -87,7 +90,7 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", text_id: str
     first = per.select("source", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("source", "chunk").orderBy("k")
     ranked = schedule.withColumn("r", F.row_number().over(inside) - 1).join(first, ["source", "chunk"]).select("source", (F.col("first") + F.col("r")).alias("block"))
-    stream = _streams(reps, passes, sum(r.texts for r in live)).withColumn("block", F.floor(F.col("start") / slot))
+    stream = _streams(reps, passes, sum(r.texts for r in live)).withColumn("block", F.floor(F.col("middle") / slot))
     used = stream.join(ranked, ["source", "block"]).groupBy("source", "rep").agg(F.count(F.lit(1)).alias("uses"))
     uses = rows.join(used.withColumnRenamed("rep", "key"), ["key", "source"], "left")
     uses = cut(uses.select(F.col("key").alias(key), "source", F.col("n").alias("n_tokens"), F.coalesce("uses", F.lit(0)).alias("uses")))
