@@ -38,6 +38,8 @@ ALPHABETS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE")
 _TO_LATIN = {pair[0]: pair[1] for pairs in LOOKALIKES.values() for pair in pairs.split()}
 _FROM_LATIN: dict[str, dict[str, str]] = {a: {p[1]: p[0] for p in reversed(LOOKALIKES[a].split())} for a in ALPHABETS if a != "LATIN"}
 _ALWAYS = {p[0]: p[1] for p in LOOKALIKES["LATIN"].split() if p[0] != "ı"}
+# Numerals that are one Latin letter in another code, from Unicode's own data.
+_ROMAN = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2160, 0x2180) if len(unicodedata.normalize("NFKC", chr(c))) == 1}
 _WORD = re.compile(r"[^\W\d_]+")
 _UNUSUAL = re.compile(r"[^\t\n\r -~]")
 
@@ -150,6 +152,8 @@ def _one_alphabet(match: re.Match) -> str:
     if word.isascii():
         return word
     fixed = "".join(_ALWAYS.get(c, c) for c in word) if any(c in _ALWAYS for c in word) and any(c.isascii() for c in word) else word
+    if any(c in _ROMAN for c in fixed) and any(c.isascii() for c in fixed):
+        fixed = "".join(_ROMAN.get(c, c) for c in fixed)
     base = [unicodedata.normalize("NFD", c)[0] for c in fixed]
     scripts = [_script(c) for c in base]
     used = {s for s in scripts if s in ALPHABETS}

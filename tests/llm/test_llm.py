@@ -141,6 +141,11 @@ def test_plain_form_is_stable(s):
     assert disguise.plain_form(once) == once
 
 
+def test_numerals_in_words():
+    assert disguise.plain_form("ⅽat ⅿusic") == "cat music"
+    assert disguise.plain_form("Ⅷ ⅽ Ⅻ") == "Ⅷ ⅽ Ⅻ"  # alone they are numerals
+
+
 def test_disguised(spark):
     rows = [(1, "ｗ", None, ["a​", "b​", None]), (2, "ok", "é", None), (3, None, "x " * 50_000, []), (4, "é", "n", ["天气"])]
     df = spark.createDataFrame(rows, "row_id long, name string, description string, aliases array<string>").withColumn("field", F.lit(1))
