@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -44,11 +47,16 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"tessera-checkpoints-{os.getpid()}")
     sc.setCheckpointDir(own)
+    atexit.register(shutil.rmtree, own, True)
     return own
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize df in the shared folder and forget how it was made."""
+    """Materialize df in the shared folder and forget how it was made.
+
+    Its files are deleted when nothing refers to it any more if the session is started with
+    spark.cleaner.referenceTracking.cleanCheckpoints, as sessions of this module are.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
