@@ -61,16 +61,16 @@ def _among(x: str, values: tuple[str, ...]) -> str:
     return f"{x} IN ({', '.join(map(q, values))})"
 
 
-def _auth_type(x: str) -> str:
+def auth_type(x: str) -> str:
     v = f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
     later = " ".join(f"WHEN {_among(v, R.AUTH_NAMES[k])} THEN '{k}'" for k in ("basic", "bearer", "signed", "user_agent", "unknown"))
     return f"CASE WHEN {_among(v, R.AUTH_NAMES['none'])} THEN 'none' WHEN {_among(v, R.AUTH_NAMES['api_key'])} THEN 'api_key' WHEN contains({v}, 'oauth') THEN 'oauth2' {later} ELSE 'other' END"
 
 
-def _tri_state(x: str) -> str:
+def tri_state(x: str) -> str:
     v = f"lower(trim({x}, ' '))"
     return f"CASE WHEN {_among(v, R.YES)} THEN 'yes' WHEN {_among(v, R.NO)} THEN 'no' ELSE 'unknown' END"
 
 
-SPELLED = f"""WITH {ROWS}, s AS (SELECT 'auth' AS "column", auth AS raw, {_auth_type("auth")} AS meant FROM table_rows UNION ALL SELECT n, raw, {_tri_state("replace(raw, '`', '')")} FROM (SELECT 'https' AS n, https AS raw FROM table_rows UNION ALL SELECT 'cors', cors FROM table_rows))
+SPELLED = f"""WITH {ROWS}, s AS (SELECT 'auth' AS "column", auth AS raw, {auth_type("auth")} AS meant FROM table_rows UNION ALL SELECT n, raw, {tri_state("replace(raw, '`', '')")} FROM (SELECT 'https' AS n, https AS raw FROM table_rows UNION ALL SELECT 'cors', cors FROM table_rows))
 SELECT "column", raw, meant, count(*) AS n FROM s WHERE raw IS NOT NULL GROUP BY ALL"""

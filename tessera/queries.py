@@ -356,13 +356,22 @@ def merged_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts linked by name or by brand and type, in groups."""
-    p = read(spark, sf, "part").select(F.col("p_partkey").alias("x"), F.concat_ws("\x1f", "p_brand", "p_name").alias("token"))
-    owner = p.groupBy("token").agg(F.min("x").alias("o"))
-    found = resolve.linked(p.join(owner, "token").select(F.col("x").alias("a"), F.col("o").alias("b")))
+    """Parts of one name linked by brand or by size, directly or through other parts."""
+    p = read(spark, sf, "part")
+    tokens = F.array(F.concat_ws("\x1f", "p_name", F.lit("brand"), "p_brand"), F.concat_ws("\x1f", "p_name", F.lit("size"), "p_size"))
+    t = p.select(F.col("p_partkey").alias("x"), F.explode(tokens).alias("token"))
+    owner = t.groupBy("token").agg(F.min("x").alias("o"))
+    found = resolve.linked(t.join(owner, "token").select(F.col("x").alias("a"), F.col("o").alias("b")))
     return found.select(F.col("vertex").alias("p_partkey"), F.col("group").alias("group_key"))
 
 
+PART_SQL = """WITH RECURSIVE t AS (SELECT p_partkey AS x, p_name || ' brand ' || p_brand AS token FROM part UNION ALL SELECT p_partkey, p_name || ' size ' || p_size FROM part),
+e AS (SELECT a.x, b.o AS y FROM t a JOIN (SELECT token, min(x) AS o FROM t GROUP BY token) b USING (token) WHERE a.x <> b.o),
+l AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+walk(x, g) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT l.y, walk.g FROM walk JOIN l ON l.x = walk.x WHERE walk.g < l.y)
+SELECT x AS p_partkey, min(g) AS group_key FROM walk GROUP BY x"""
+
+
 def provider_tags(spark: SparkSession, sf: str) -> DataFrame:
     r = read(spark, sf, "catalog_records").where(F.col("provider").isNotNull())
     return catalog.canonical_sets(r.select("provider", F.explode("tags").alias("tag")), "provider", F.col("tag"), "tags")
@@ -503,10 +512,20 @@ def pipeline_counts(spark: SparkSession, sf: str) -> DataFrame:
     return policy.pipeline_counts(r.limit(0), entries, r, merged)
 
 
+_MADE = f"""made AS (SELECT line_id AS row_id, CASE WHEN {Q.slug('provider')} = {Q.slug('name')} THEN {Q.slug('name')} ELSE {Q.slug('provider')} || ':' || {Q.slug('name')} END AS id, trim(name, ' ') AS name, CAST([] AS VARCHAR[]) AS aliases, provider, canonical AS docs_url, description, auth, https, cors, category
+FROM (SELECT *, coalesce(nullif(regexp_replace({Q.host('canonical')}, '^(?:www\\d*|api)\\.', ''), ''), name) AS provider FROM (SELECT * EXCLUDE (docs_url), {_canon()} AS canonical FROM (SELECT *, url AS docs_url FROM entries)) WHERE trim(name) <> '' AND canonical IS NOT NULL))"""
+
+
+def _records_sql() -> str:
+    raw = "regexp_replace(trim(auth, ' '), '^`+|`+$', '', 'g')"
+    header = f"(kind = 'api_key' AND regexp_matches({raw}, '[-_]'))"
+    place = f"CASE WHEN {header} OR kind IN ('basic', 'bearer', 'user_agent') THEN 'header' WHEN contains(lower({raw}), 'query') THEN 'query' ELSE 'unknown' END"
+    auth = f"""'[{{"type":"' || kind || '","location":"' || {place} || '","name":"' || CASE WHEN {header} THEN {raw} ELSE '' END || '","source":"index","confidence":' || CASE WHEN kind = 'unknown' THEN '0.5' ELSE '1.0' END || '}}]'"""
+    return f"WITH entries AS ({M.CLEAN}), {_MADE} SELECT row_id, id, name, description, category AS categories, provider, docs_url, {auth} AS auth, {M.tri_state('https')} AS https, {M.tri_state('cors')} AS cors, 'unknown' AS status FROM (SELECT *, {M.auth_type('auth')} AS kind FROM made)"
+
+
 def _pipeline_sql() -> str:
-    provider = f"coalesce(nullif(regexp_replace({Q.host('canonical')}, '^(?:www\\d*|api)\\.', ''), ''), name)"
-    record = f"SELECT line_id AS row_id, CASE WHEN {Q.slug('provider')} = {Q.slug('name')} THEN {Q.slug('name')} ELSE {Q.slug('provider')} || ':' || {Q.slug('name')} END AS id, trim(name, ' ') AS name, CAST([] AS VARCHAR[]) AS aliases, provider, canonical AS docs_url FROM (SELECT *, {provider} AS provider FROM (SELECT line_id, name, {_canon()} AS canonical FROM (SELECT line_id, name, url AS docs_url FROM entries)) WHERE trim(name) <> '' AND canonical IS NOT NULL)"
-    return f"""WITH RECURSIVE entries AS ({M.CLEAN}), made AS ({record}), {_tokens("made")},
+    return f"""WITH RECURSIVE entries AS ({M.CLEAN}), {_MADE}, {_tokens("made")},
 owned AS (SELECT row_id, min(row_id) OVER (PARTITION BY token) AS owner FROM tokens),
 linked AS (SELECT row_id AS x, owner AS y FROM owned WHERE row_id <> owner UNION SELECT owner, row_id FROM owned WHERE row_id <> owner),
 walk(x, g) AS (SELECT x, x FROM linked UNION SELECT linked.y, walk.g FROM walk JOIN linked ON linked.x = walk.x WHERE walk.g < linked.y)
@@ -524,7 +543,7 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "p1_found": M.FOUND, "p1_clean": M.CLEAN, "spelled_values": M.SPELLED, "p6_found": P6_SQL, "token_stats": TOKEN_SQL, "field_lengths": LENGTH_SQL, "name_phrases": PHRASE_SQL, "freshness": FRESH_SQL, "record_values": VALUE_SQL, "slug_ids": SLUG_SQL, "url_forms": URL_SQL,
     "validation_errors": _checks(), "repeated_ids": REPEATED_SQL, "identity_tokens": TOKENS_SQL, "entity_groups": GROUPS_SQL, "source_policy": _policy_sql(), "source_values": _values_sql(), "record_keys": KEYS_SQL, "report_errors": REPORT_SQL, "excluded_addresses": EXCLUDED_SQL, "unsorted_ids": UNSORTED_SQL, "pipeline_counts": _pipeline_sql(), "content_version": VERSION_SQL, "merged_records": MERGED_SQL, "catalog_errors": CATALOG_SQL, "provider_tags": TAGS_SQL, "snapshot_diff": DIFF_SQL, "row_hashes": HASH_SQL,
-    "part_groups": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS group_key FROM part",
+    "part_groups": PART_SQL, "index_records": _records_sql(),
     "search_gated": X.search(S.check_arguments(**GATED), _DOCUMENTS), "search_totals": " UNION ALL ".join(X.totals(S.check_arguments(**a)) for a in SEARCHES.values()),
     "query_terms": X.expanded(EXPANDED), "render_results": X.rendered(S.check_arguments(query="weather", limit=20)),
 } | {k: X.search(S.check_arguments(**a)) for k, a in SEARCHES.items()}
