@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions import urls as U
 from ..functions.times import is_rfc3339
-from ..session import spread
+from ..session import cut, spread
 
 RIGHTS_KEYS = ("attribution", "authorization", "community_attribution", "community_license", "license", "license_url", "notes", "repository_visibility", "scope", "terms_url", "usage_basis")
 MAX_NAME, MAX_TEXT, MAX_ITEMS, MAX_ENTRIES, MAX_RIGHT = 512, 8192, 256, 64, 4096
@@ -117,9 +117,9 @@ def catalog_errors(records: DataFrame, key: str = "row_id") -> DataFrame:
 
     errors = record_errors(records, key)
     ids = repeated_keys(records, F.lower("id"), "id", "must be unique", key)
-    docs = repeated_keys(records, U.url_identity(F.col("docs_url")), "docs_url", "is the documentation of another record", key)
-    named = identity_tokens(records, key).where(F.col("token").startswith("provider-name:"))
-    names = repeated_keys(named, F.col("token"), "name", "is a name of another record of the provider", key).distinct()
+    tokens = cut(identity_tokens(records, key))  # made once: forms of names are made in Python
+    docs = repeated_keys(tokens.where(F.col("token").startswith("docs:")), F.col("token"), "docs_url", "is the documentation of another record", key)
+    names = repeated_keys(tokens.where(F.col("token").startswith("provider-name:")), F.col("token"), "name", "is a name of another record of the provider", key).distinct()
     return errors.unionByName(ids).unionByName(docs).unionByName(names)
 
 
