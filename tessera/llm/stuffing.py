@@ -306,6 +306,18 @@ class Batch:
         return cls(seq, (p[at - 2] * _SIZE + p[at - 1]) * _SIZE + p[at], texts, np.flatnonzero(starts[:-1]))
 
 
+#: Tokens that are worked on at once, about, however many texts a task gets together; a longer text is worked on alone.
+AT_ONCE = 500_000
+
+
+def _portions(sequences: list[bytes]) -> Iterator[np.ndarray]:
+    """Numbers of the sequences that are not empty, in portions of bounded size."""
+    size = np.array([len(x) for x in sequences], np.int64)
+    full = np.flatnonzero(size)
+    if len(full):
+        yield from np.split(full, np.flatnonzero(np.diff(np.cumsum(size[full]) // AT_ONCE)) + 1)
+
+
 # ---- models --------------------------------------------------------------------------------
 
 
@@ -334,26 +346,24 @@ class Model:
     def judge(self, sequences: list[bytes], new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(share of the text in abnormal stretches, log perplexity, log perplexity when what was said before is known) of each."""
         share, page, again = np.zeros(len(sequences)), np.full(len(sequences), self.mean), np.full(len(sequences), self.mean)
-        full = np.flatnonzero([len(x) > 0 for x in sequences])
-        if not len(full):
-            return share, page, again
-        b = Batch.of([sequences[i] for i in full])
-        # an unknown word may be of any kind, in any language: it is no evidence
-        heard = (b.seq != _UNKNOWN).astype(np.int64)
-        n = np.add.reduceat(heard, b.lines)
-        # changing to the other model costs a bit
-        s = np.minimum(np.add.reduceat(self.prose[b.tri] * heard, b.lines), np.add.reduceat(self.structured[b.tri] * heard, b.lines) + 1)
-        first = np.searchsorted(b.lines, b.texts)
-        text_of = np.searchsorted(b.texts, b.lines, "right") - 1
-        # lines are joined to stretches of some length, so that short ones are not judged by a word or two
-        part = -(-(b.lines - b.texts[text_of]) // STRETCH)
-        begins = np.flatnonzero(np.append(True, (text_of[1:] != text_of[:-1]) | (part[1:] != part[:-1])))
-        said, words = np.add.reduceat(s, begins), np.add.reduceat(n, begins)
-        odd = (said + STRETCH_PRIOR * self.mean) / (words + STRETCH_PRIOR) > self.mean + float(np.log(FACTOR)) / 2
-        size, total = np.add.reduceat(n, first), np.add.reduceat(s, first)
-        share[full] = np.bincount(text_of[begins], words * odd, len(full)) / np.maximum(1, size)
-        page[full] = (total + PAGE_PRIOR * self.mean) / (size + PAGE_PRIOR)
-        again[full] = np.where(size > 0, (total * new[full] + PAGE_PRIOR * self.mean) / (size + PAGE_PRIOR), page[full])
+        for full in _portions(sequences):
+            b = Batch.of([sequences[i] for i in full])
+            # an unknown word may be of any kind, in any language: it is no evidence
+            heard = (b.seq != _UNKNOWN).astype(np.int64)
+            n = np.add.reduceat(heard, b.lines)
+            # changing to the other model costs a bit
+            s = np.minimum(np.add.reduceat(self.prose[b.tri] * heard, b.lines), np.add.reduceat(self.structured[b.tri] * heard, b.lines) + 1)
+            first = np.searchsorted(b.lines, b.texts)
+            text_of = np.searchsorted(b.texts, b.lines, "right") - 1
+            # lines are joined to stretches of some length, so that short ones are not judged by a word or two
+            part = -(-(b.lines - b.texts[text_of]) // STRETCH)
+            begins = np.flatnonzero(np.append(True, (text_of[1:] != text_of[:-1]) | (part[1:] != part[:-1])))
+            said, words = np.add.reduceat(s, begins), np.add.reduceat(n, begins)
+            odd = (said + STRETCH_PRIOR * self.mean) / (words + STRETCH_PRIOR) > self.mean + float(np.log(FACTOR)) / 2
+            size, total = np.add.reduceat(n, first), np.add.reduceat(s, first)
+            share[full] = np.bincount(text_of[begins], words * odd, len(full)) / np.maximum(1, size)
+            page[full] = (total + PAGE_PRIOR * self.mean) / (size + PAGE_PRIOR)
+            again[full] = np.where(size > 0, (total * new[full] + PAGE_PRIOR * self.mean) / (size + PAGE_PRIOR), page[full])
         return share, page, again
 
     def flags(self, share: Column, log_perplexity: Column, repeated: Column) -> Column:
@@ -368,16 +378,15 @@ def train(sequences: DataFrame) -> Model:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prose, structured = np.zeros(_SIZE**3), np.zeros(_SIZE**3)
         for pdf in batches:
-            pdf = pdf[pdf["classes"].map(len) > 0]
-            if pdf.empty:
-                continue
-            b = Batch.of(list(pdf["classes"]))
-            size = np.diff(np.append(b.texts, len(b.seq)))
-            w = np.repeat(np.minimum(1.0, WEIGHT / size), size)
-            prose += np.bincount(b.tri, w * np.repeat(pdf["dense"].to_numpy() >= least, size), _SIZE**3)
-            n = np.diff(np.append(b.lines, len(b.seq)))
-            fit = (np.add.reduceat(_IS_STRUCTURE[b.seq].astype(np.int64), b.lines) >= STRUCTURE * n) & (np.add.reduceat(_IS_STUFF[b.seq].astype(np.int64), b.lines) <= STUFFED * n)
-            structured += np.bincount(b.tri, w * np.repeat(fit, n), _SIZE**3)
+            sequences, common = list(pdf["classes"]), pdf["dense"].to_numpy()
+            for full in _portions(sequences):
+                b = Batch.of([sequences[i] for i in full])
+                size = np.diff(np.append(b.texts, len(b.seq)))
+                w = np.repeat(np.minimum(1.0, WEIGHT / size), size)
+                prose += np.bincount(b.tri, w * np.repeat(common[full] >= least, size), _SIZE**3)
+                n = np.diff(np.append(b.lines, len(b.seq)))
+                fit = (np.add.reduceat(_IS_STRUCTURE[b.seq].astype(np.int64), b.lines) >= STRUCTURE * n) & (np.add.reduceat(_IS_STUFF[b.seq].astype(np.int64), b.lines) <= STUFFED * n)
+                structured += np.bincount(b.tri, w * np.repeat(fit, n), _SIZE**3)
         seen = np.flatnonzero((prose > 0) | (structured > 0))
         yield pd.DataFrame({"t": seen, "prose": prose[seen], "structured": structured[seen]})
 

@@ -363,6 +363,17 @@ def test_common_words_are_learned(spark, crawl):
     assert not any("en" in own.get(w, ()) for w in ("discount", "humidity", "coupon"))
 
 
+def test_portions_do_not_matter(monkeypatch):
+    vocab = stuffing.Vocabulary({"en": {w: (0.5, 0.03) for w in "the a of is for".split()}}, frozenset("cat dog list name".split()))
+    texts = ["the cat is a dog.\nlist: name", "", "cat " * 50, "a\n" * 9, "name = list"]
+    sequences = [stuffing.classes(t, vocab)[0] for t in texts]
+    model = stuffing.Model(np.ones(stuffing._SIZE**3), np.ones(stuffing._SIZE**3))
+    whole = [x.tolist() for x in model.judge(sequences, np.ones(len(texts)))]
+    monkeypatch.setattr(stuffing, "AT_ONCE", 3)
+    assert sum(map(len, stuffing._portions(sequences))) == 4 and len(list(stuffing._portions(sequences))) > 2
+    assert [x.tolist() for x in model.judge(sequences, np.ones(len(texts)))] == whole
+
+
 def test_tokens_in_linear_time():
     """Long runs of one character are cut at once; a process of its own, so a slow pattern can be ended."""
     import subprocess
