@@ -1,14 +1,13 @@
 """The best representative of each group of duplicates, field by field.
 
-Currency reasoning. Timestamped rows of one group that show value a only before value b
-vote for a -> b; over all groups the winning transitions form a precedence graph of the
-field's values. A declared order may constrain the graph: its edges hold whatever the
-votes say, and a learned edge that closes a circle is left out. In each group the graph
-orders the values that occur; the value of a topologically latest one survives.
-
-For fields whose values say how much is known, the value's state is that number, and the
-declared order is that more knowledge comes later. For closed fields no order is declared,
-and the learned one places values of rows without a time stamp.
+Where the order of a field's values is declared in full (more knowledge, then the latest
+moment, then the smallest row), nothing is left to learn: survivors() takes the greatest
+row of each group in that order.
+
+Currency reasoning serves closed fields, for which no order is declared. Timestamped rows
+of one group that show value a only before value b vote for a -> b; over all groups the
+winning transitions form a precedence graph of the field's values, which places values of
+rows without a time stamp (current_values()).
 """
 
 from __future__ import annotations
@@ -29,31 +28,24 @@ def known(text: Column) -> Column:
     return F.coalesce(~F.lower(F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")).isin(NOTHING), F.lit(False))
 
 
-#: States of a field in the precedence graph: 0 to this number; values that know more share the last state, and are ordered in it by how much they know.
+#: Without effect, as survivors() has no states any more; a test of it still sets this name.
 MOST_STATES = 64
 
 
 def survivors(rows: DataFrame, key: str, row_id: str, moment: Column, scores: dict[str, Column], least: int = 2) -> DataFrame:
     """key, field, row_id: for each field the row whose value survives in the group.
 
-    scores: by field, how much the row's value knows (0 or null: no value). Transitions
-    between states are learned from the dated rows, under the declared order that more
-    knowledge is later; the row in the topologically latest state of the group survives,
-    of several in one state the latest, rows without a moment being before all others; of
-    equals the smallest row_id. Groups of fewer than least rows, null keys and fields
-    without any value give no row. Groups are reduced before they are shuffled, so one may
-    hold any share of the rows.
+    scores: by field, how much the row's value knows (0 or null: no value). The row that
+    knows most survives; of several the latest, rows without a moment being before all
+    others; of equals the smallest row_id. No two rows are left open, so nothing is learned
+    here. Groups of fewer than least rows, null keys and fields without any value give no
+    row. One aggregation, reduced before the shuffle, so a group may hold any share of the
+    rows.
     """
-    names = list(scores)
-    lean = rows.where(F.col(key).isNotNull()).select(key, row_id, moment.alias("__at"), *[F.coalesce(s.cast("long"), F.lit(0)).alias(f"__s{k}") for k, s in enumerate(scores.values())])
-    state = lambda k: F.least(F.col(f"__s{k}"), F.lit(MOST_STATES)).cast("int")
-    dated = lean.where(F.col("__at").isNotNull()).select(F.col(key).alias("key"), F.col("__at").alias("at"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), state(k).alias("value")) for k, f in enumerate(names)])))
-    declared = [(f, n, n + 1) for f in names for n in range(MOST_STATES)]
-    after = precedence([tuple(r) for r in votes_of(dated).collect()], declared)
-    place = {f: F.array(*[F.lit(sum(n in later for later in after[f].values())) for n in range(MOST_STATES + 1)]) for f in names}
-    order = lambda k: F.struct(F.get(place[names[k]], state(k)).alias("d"), F.col(f"__s{k}").alias("s"), F.coalesce("__at", F.lit(BEFORE_ALL)).alias("t"), (-F.col(row_id)).alias("r"))
-    best = lean.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.max(order(k)).alias(f"__f{k}") for k in range(len(names))])
-    each = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"__f{k}").alias("b")) for k, name in enumerate(names)])
+    lean = rows.where(F.col(key).isNotNull()).select(key, row_id, F.coalesce(moment, F.lit(BEFORE_ALL)).alias("__at"), *[F.coalesce(s.cast("long"), F.lit(0)).alias(f"__s{k}") for k, s in enumerate(scores.values())])
+    order = lambda k: F.struct(F.col(f"__s{k}").alias("s"), F.col("__at").alias("t"), (-F.col(row_id)).alias("r"))
+    best = lean.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.max(order(k)).alias(f"__f{k}") for k in range(len(scores))])
+    each = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"__f{k}").alias("b")) for k, name in enumerate(scores)])
     out = best.where(F.col("__n") >= least).select(key, F.inline(each)).where(F.col("b.s") > 0)
     return out.select(key, "field", (-F.col("b.r")).alias(row_id))
 

@@ -96,6 +96,23 @@ def test_survivors_against_the_rule(spark, monkeypatch):
     assert got == want
 
 
+def test_survivors_learn_nothing(spark):
+    """The declared order leaves no two rows open: rows are read and shuffled once, no job runs before the result's own."""
+    rows = [(1, "x", 1, 5), (2, "x", 2, 4), (3, "y", 2, 3), (4, "y", 1, 9), (5, "z", 1, None), (6, "z", 1, 7), (8, "w", 1, 7), (7, "w", 1, 7)]
+    df = spark.createDataFrame(rows, "row_id long, id string, s int, at long")
+    sc = spark.sparkContext
+    sc.setJobGroup("survivors", "")
+    try:
+        out = survivors.survivors(df, "id", "row_id", F.col("at"), {"f": F.col("s")})
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        assert list(sc.statusTracker().getJobIdsForGroup("survivors")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert {r.id: r.row_id for r in out.collect()} == {"x": 2, "y": 3, "z": 6, "w": 7}
+
+
 # ---- terms -----------------------------------------------------------------------------------
 
 
